@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ragloom.llm.byte_bpe import op8_byte_bpe
 from ragloom.llm.chat_format import OP6_SQL, op6_chat_format
+from ragloom.llm.near_dup import OP5_SQL, op5_near_dup
 from ragloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 from ragloom.llm.secret_scan import op10_secret_scan
+from ragloom.llm.source_mixing import OP2_SQL, op2_source_mixing
+from ragloom.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
+    "op2_source_mixing": op2_source_mixing,
+    "op5_near_dup": op5_near_dup,
     "op6_chat_format": op6_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
+    "op1_topk_search": OP1_SQL,
+    "op2_source_mixing": OP2_SQL,
+    "op5_near_dup": OP5_SQL,
     "op6_chat_format": OP6_SQL,
     "op9_quality_rules": OP9_SQL,
 }
