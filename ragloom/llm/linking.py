@@ -14,15 +14,15 @@ from ragloom.llm.components import components
 CENTRES, TURNS = 4, 12
 
 
-def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], name: str, once: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, label) of every node with a confirmed link; the components are those of all confirmed pairs that share a list.
 
     lists: rows (key, node, *facts), read more than once, so written beforehand. likely(x, y): a condition on the facts of two aliased
-    rows. confirm(pairs): the rows of (a, b) that are links.
+    rows. confirm(pairs): the rows of (a, b) that are links. once(x, y): holds for one of the lists that two rows share, where known.
 
     First every member of a list meets one member. Then turns follow in the lists whose members still lie in several components: members
     outside the list's most frequent component meet a few members of it, others each turn, and components are made anew. When what is
-    left is few pairs, or a turn found no link, the outsiders meet all members of other components. Two members of one component need
+    left is few pairs, or a turn found hardly a link, the outsiders meet all members of other components. Two members of one component need
     not meet, so the result is that of all pairs, while a list of m near copies costs about m pairs a turn, not m * m.
     """
     row = F.struct("node", *facts)
@@ -30,7 +30,7 @@ def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str,
     met = heads.alias("x").join(lists.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & likely("x", "y"))
     links, labels = _links(met, confirm, None, f"{name}-0")
 
-    left, found = lists, True
+    left, gain, postings = lists, 1.0, lists.count()
     for turn in range(1, TURNS + 1):
         marked = left.select("key", "node", *facts).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         sizes = marked.groupBy("key", "label").count()
@@ -40,18 +40,18 @@ def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str,
         cost = left.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("label") != F.col("modal"), F.col("members"))).alias("pairs")).first()
         if not cost["rows"]:
             return labels
-        if not found or (cost["pairs"] or 0) <= 2 * cost["rows"] or turn == TURNS:
+        if gain < 0.02 or (cost["pairs"] or 0) <= 4 * postings or turn == TURNS:
             break
         inside = left.where("label = modal").groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(row, F.xxhash64("node", F.lit(CENTRES * turn + i))) for i in range(CENTRES)))).alias("centres"))
         centres = inside.select("key", F.explode("centres").alias("h")).select("key", "h.*")
         met = centres.alias("x").join(left.where("label <> modal").alias("y"), (F.col("x.key") == F.col("y.key")) & likely("x", "y"))
-        before = links
+        before = links.count()
         links, labels = _links(met, confirm, links, f"{name}-{turn}")
-        found = links.count() > before.count()
+        gain = links.count() / max(1, before) - 1
 
     # between two outsiders the smaller node leads; with a member of the most frequent component the outsider does
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.modal")) | (F.col("x.node") < F.col("y.node")))
-    met = left.where("label <> modal").alias("x").join(left.alias("y"), meets & likely("x", "y"))
+    met = left.where("label <> modal").alias("x").join(left.alias("y"), meets & likely("x", "y") & (once("x", "y") if once else F.lit(True)))
     return _links(met, confirm, links, f"{name}-all")[1]
 
 

@@ -5,14 +5,13 @@ whose signatures agree in MATCH of COORDINATES places share a pair among the COO
 these posting lists are joined; the longer lists are never merged: the sketch that every posting carries gives the remaining collisions
 (skip). Pairs at or above MATCH are confirmed on the full sets.
 
-No list is expanded into all pairs. First every member of a list is paired with the list's smallest node, confirmed, and components are
-made. Then, in lists whose members still lie in several components, members outside the list's most frequent component meet all members
-of other components. What is never paired is connected already, so the components are those of all pairs.
+Components are made from the lists without expanding any into all its pairs (linking.py).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm.common import safe_text, table, written
-from ragloom.llm.components import components
+from ragloom.llm.linking import linked_components
 from ragloom.llm.text_arrays import mix, pieces, word_hashes
 
 _U = np.uint64
-COORDINATES, MATCH = 40, 22
-_LANES = COORDINATES // 8
+COORDINATES, MATCH = 64, 41
+#: Longs of a sketch: 16 bits of each coordinate, coordinate c in long c // 4.
+_LANES = COORDINATES // 4
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, (COORDINATES, 2), dtype=np.uint64) | _U(1)
 
 
@@ -78,7 +78,7 @@ def _fingerprints(sets: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint of the set), key (array of posting keys), sketch (array of 8 coordinates a long)."""
+    """doc_id, n_shingles, node (fingerprint of the set), key (array of posting keys), sketch (array of 4 coordinates a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 full = np.flatnonzero(n > 0)
                 keys = np.zeros((len(texts), COORDINATES), np.uint64)
                 keys[full] = _signatures(sets, borders)
-                sketch = np.ascontiguousarray(mix(keys).astype(np.uint8)).view(np.int64)
+                sketch = np.ascontiguousarray(mix(keys).astype(np.uint16)).view(np.int64)
                 keys = mix(keys + np.arange(COORDINATES, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
                 def lists(values: np.ndarray) -> pa.Array:
@@ -112,17 +112,28 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, set binary")
 
 
-def agreements(left: list[Column], right: list[Column]) -> Column:
-    """How many bytes of the sketches agree: at most 1 in 256 agrees by chance, so never fewer than the coordinates that do."""
-    def zero_bytes(x: Column) -> Column:
-        for bits in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, bits))
-        return 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+def agreement(left: list[Column], right: list[Column]) -> Column:
+    """One bit for each coordinate on which the sketches agree; by chance 1 in 65,536 of the others does too."""
+    out = F.lit(0).cast("long")
+    for lane, (x, y) in enumerate(zip(left, right, strict=True)):
+        differ = x.bitwiseXOR(y)
+        for bits in (8, 4, 2, 1):
+            differ = differ.bitwiseOR(F.shiftrightunsigned(differ, bits))
+        out = out.bitwiseOR(F.shiftleft(F.bitwise_not(differ).bitwiseAND(F.lit(0x0001000100010001)), lane))
+    return out
+
+
+def coordinate_bit(coordinate: Column) -> Column:
+    """The number of the bit that agreement() has for a coordinate."""
+    return (16 * (coordinate % 4) + F.floor(coordinate / 4)).cast("int")
+
 
-    total = F.lit(0)
-    for x, y in zip(left, right, strict=True):
-        total = total + zero_bytes(x.bitwiseXOR(y))
-    return total
+def one_bit(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def bits_below(bit: Column) -> Column:
+    return F.call_function("shiftrightunsigned", F.lit(0x7FFFFFFFFFFFFFFF).cast("long"), F.lit(63) - bit)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,45 +172,45 @@ def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     nodes = nodes.select("node", "n", "key", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(_LANES)))
     nodes = written(nodes, "near-nodes")
 
-    posted = nodes.select("node", F.explode("key").alias("key"))
+    posted = nodes.select("node", F.posexplode("key").alias("place", "key")).select("node", "key", coordinate_bit(F.col("place")).alias("bit"))
     frequent = written(posted.groupBy("key").count().where("count > 1"), "near-lists")
     # the prefix: the rarest pairs of a node; a pair of its own only takes a place in it
-    ranked = posted.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("common"))
+    ranked = posted.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "key", "bit"))).alias("common"))
     take = F.lit(COORDINATES - MATCH + 1) - (F.lit(COORDINATES) - F.size("common"))
-    prefix = ranked.where(take > 0).select("node", F.explode(F.slice("common", 1, F.greatest(take, F.lit(1)))["key"]).alias("key"))
+    prefix = ranked.where(take > 0).select("node", F.slice("common", 1, F.greatest(take, F.lit(1))).alias("taken"))
+    prefix = prefix.select("node", F.aggregate("taken", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(one_bit(t["bit"]))).alias("mask"), F.explode("taken").alias("t")).select("node", "mask", "t.key", "t.bit")
     lists = written(prefix.join(nodes.select("node", "n", *lanes), "node"), "near-prefix")
 
-    def likely(a: str, b: str) -> Column:
-        sizes = (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n"))
-        return sizes & (agreements([F.col(f"{a}.{x}") for x in lanes], [F.col(f"{b}.{x}") for x in lanes]) >= MATCH)
+    def agreed(x: str, y: str) -> Column:
+        return agreement([F.col(f"{x}.{lane}") for lane in lanes], [F.col(f"{y}.{lane}") for lane in lanes])
 
-    heads = lists.groupBy("key").agg(F.min(F.struct("node", "n", *lanes)).alias("h"), F.count("*").alias("members")).where("members > 1").select("key", "h.*")
-    first = heads.alias("x").join(lists.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.node") != F.col("y.node")) & likely("x", "y"))
-    first = written(first.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-first")
+    def likely(x: str, y: str) -> Column:
+        sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+        return sizes & (F.bit_count(agreed(x, y)) >= MATCH)
+
+    def once(x: str, y: str) -> Column:
+        # of the lists that both prefixes have, the one of the lowest bit
+        shared = agreed(x, y).bitwiseAND(F.col(f"{x}.mask")).bitwiseAND(F.col(f"{y}.mask"))
+        return shared.bitwiseAND(bits_below(F.col(f"{x}.bit"))) == 0
 
     # a set is needed once for each node: from the document of smallest id in the class
     named = rows.where(f"n_shingles >= {least}").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    pool: list[DataFrame] = []
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = wanted.join(named, "node").select("doc_id").distinct()
-        own = src.join(ids, src["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        return written(full_sets(own, shingle_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
-
-    links = written(confirmed(first, sets_of(first), percent), "near-links")
-    labels = components(links, name="near-labels")
-    marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    shares = marked.groupBy("key", "label").count()
-    modal = shares.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("modal"), F.count("*").alias("parts")).where("parts > 1").select("key", "modal")
-    open_lists = written(marked.join(modal, "key"), "near-open")
-    outside = open_lists.where("label <> modal")
-    # between two outsiders the smaller node leads; with a member of the modal component the outsider does
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.modal")) | (F.col("x.node") < F.col("y.node")))
-    second = outside.alias("x").join(open_lists.alias("y"), meets & likely("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = written(second, "near-second")
-    more = written(confirmed(second, sets_of(second), percent), "near-more")
-    labels = components(links.unionByName(more), name="near-groups")
-
+        for known in pool:
+            wanted = wanted.join(known.select("node"), "node", "left_anti")
+        wanted = written(wanted, "near-wanted")
+        if not wanted.isEmpty():
+            ids = wanted.join(named, "node").select("doc_id").distinct()
+            own = src.join(ids, src["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+            pool.append(written(full_sets(own, shingle_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-sets"))
+        if not pool:
+            return pairs.limit(0)
+        return confirmed(pairs, reduce(DataFrame.unionByName, pool), percent)
+
+    labels = linked_components(lists, ["n", "mask", "bit", *lanes], likely, confirm, "near", once)
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     named_class = classes.join(lowest, "label").select("node", "component_id")

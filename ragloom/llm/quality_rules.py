@@ -66,17 +66,23 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     results: a null or empty text has no words and is rejected; ids are passed through, null and repeated ones too; an empty table
     gives no rows; other columns are not read.
     """
+    judged = _judged(docs, id_col, text_col, min_words, max_repeat_percent, max_lost_percent)
+    return judged.drop("row")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, min_words: int, max_repeat_percent: int, max_lost_percent: int) -> DataFrame:
+    """What quality_rules returns, and `row`: all columns of the input row."""
     t = F.col("t")
-    src = docs.select(F.col(id_col).alias("doc_id"), safe_text(text_col).alias("t"))
+    src = docs.select(F.col(id_col).alias("doc_id"), safe_text(text_col).alias("t"), F.struct("*").alias("row"))
     lines = F.filter(F.split(t, "\n", -1), lambda line: F.length(F.trim(F.translate(line, WHITE[1:], " " * (len(WHITE) - 1)))) > 0)
     counted = src.select(
-        "doc_id", "t",
+        "doc_id", "t", "row",
         let(words(t), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("rep"))).alias("w"),
         word_chars(t).alias("chars"), symbols(t).alias("sym"),
         let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).alias("dup"), F.transform(x, lambda y: F.struct(y.alias("line"), line_fails(y).alias("bad"))).alias("lines"))).alias("l"),
     )
     counted = counted.select(
-        "doc_id", F.col("w.n").cast("long").alias("n_words"), F.col("chars").cast("long").alias("word_chars"), F.col("sym").cast("long").alias("n_symbols"),
+        "doc_id", "row", F.col("w.n").cast("long").alias("n_words"), F.col("chars").cast("long").alias("word_chars"), F.col("sym").cast("long").alias("n_symbols"),
         F.col("l.dup").cast("long").alias("n_dup_lines"), F.col("w.rep").cast("long").alias("n_repeat_words"),
         F.when(F.exists("l.lines", lambda x: x["bad"]), F.array_join(F.transform(F.filter("l.lines", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).otherwise(F.col("t")).alias("clean_text"),
         F.aggregate("l.lines", F.lit(0), lambda a, x: a + F.when(x["bad"], word_chars(x["line"])).otherwise(0)).cast("long").alias("lost_chars"),
@@ -86,6 +92,13 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost)
 
 
+def cleaned_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", min_words: int = 10, max_repeat_percent: int = 20, max_lost_percent: int = 50) -> DataFrame:
+    """The rows of `docs` that quality_rules keeps, with the failing lines taken out of their text; length_col, if there, follows the text."""
+    kept = _judged(docs, id_col, text_col, min_words, max_repeat_percent, max_lost_percent).where("kept")
+    new = {text_col: F.col("clean_text"), length_col: F.length("clean_text").cast("long")}
+    return kept.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
