@@ -14,11 +14,13 @@ from ragloom.llm.components import components
 CENTRES, TURNS = 4, 12
 
 
-def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], name: str, once: Callable[[str, str], Column] | None = None) -> DataFrame:
+def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], name: str, once: Callable[[str, str], Column] | None = None, apart: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, label) of every node with a confirmed link; the components are those of all confirmed pairs that share a list.
 
     lists: rows (key, node, *facts), read more than once, so written beforehand. likely(x, y): a condition on the facts of two aliased
     rows. confirm(pairs): the rows of (a, b) that are links. once(x, y): holds for one of the lists that two rows share, where known.
+    apart(nodes): of nodes (node, label, leads, *facts), the pairs (aliased x, y; x leads, labels differ) that are likely and that a bound
+    does not rule out. Where it is given and many pairs are left after the first meeting, it takes the place of the turns.
 
     First every member of a list meets one member. Then turns follow in the lists whose members still lie in several components: members
     outside the list's most frequent component meet a few members of it, others each turn, and components are made anew. When what is
@@ -40,6 +42,9 @@ def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str,
         cost = left.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("label") != F.col("modal"), F.col("members"))).alias("pairs")).first()
         if not cost["rows"]:
             return labels
+        if apart and (cost["pairs"] or 0) > 4 * postings:
+            met = apart(left.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("modal")).alias("leads"), *(F.first(f).alias(f) for f in facts)))
+            return _links(met, confirm, links, f"{name}-apart")[1]
         if gain < 0.02 or (cost["pairs"] or 0) <= 4 * postings or turn == TURNS:
             break
         inside = left.where("label = modal").groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(row, F.xxhash64("node", F.lit(CENTRES * turn + i))) for i in range(CENTRES)))).alias("centres"))

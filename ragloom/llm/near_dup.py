@@ -112,6 +112,28 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, set binary")
 
 
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """node, size, shingle, place (from 0): the first of every set's shingles in one order for all sets, the rarest of these sets first.
+
+    As many as it takes: sets of a similarity of percent share one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(packed.as_buffer(), np.int64)
+                for at in range(0, len(values), 1 << 18):
+                    part = values[at : at + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], ["node", "shingle"])
+
+    seen = sets.select("node", "set").mapInArrow(run, "node long, shingle long")
+    counts = seen.groupBy("shingle").agg(F.count("*").alias("sets"))
+    ordered = seen.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("all"))
+    size = F.size("all")
+    take = size - F.ceil(size * percent / 100).cast("int") + 1
+    return ordered.select("node", size.alias("size"), F.posexplode(F.slice("all", 1, take)).alias("place", "t")).select("node", "size", "place", "t.shingle")
+
+
 def agreement(left: list[Column], right: list[Column]) -> Column:
     """One bit for each coordinate on which the sketches agree; by chance 1 in 65,536 of the others does too."""
     out = F.lit(0).cast("long")
@@ -197,8 +219,7 @@ def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     named = rows.where(f"n_shingles >= {least}").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     pool: list[DataFrame] = []
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def load(wanted: DataFrame) -> None:
         for known in pool:
             wanted = wanted.join(known.select("node"), "node", "left_anti")
         wanted = written(wanted, "near-wanted")
@@ -206,11 +227,25 @@ def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             ids = wanted.join(named, "node").select("doc_id").distinct()
             own = src.join(ids, src["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
             pool.append(written(full_sets(own, shingle_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-sets"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        load(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         if not pool:
             return pairs.limit(0)
         return confirmed(pairs, reduce(DataFrame.unionByName, pool), percent)
 
-    labels = linked_components(lists, ["n", "mask", "bit", *lanes], likely, confirm, "near", once)
+    def apart(left: DataFrame) -> DataFrame:
+        left = written(left, "near-left-nodes")
+        load(left.select("node"))
+        firsts = rare_shingles(reduce(DataFrame.unionByName, pool).join(left.select("node"), "node", "left_semi"), percent)
+        firsts = written(firsts.join(left.select("node", "label", "leads"), "node"), "near-rare")
+        # of the shared shingles the first in the common order has nothing shared before it, so the intersection is within both rests
+        most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+        meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & ((100 + percent) * most >= percent * (F.col("x.size") + F.col("y.size")))
+        met = firsts.where("leads").alias("x").join(firsts.alias("y"), meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        return met.join(left.select(F.col("node").alias("a"), F.struct("node", "n", *lanes).alias("x")), "a").join(left.select(F.col("node").alias("b"), F.struct("node", "n", *lanes).alias("y")), "b").where(likely("x", "y"))
+
+    labels = linked_components(lists, ["n", "mask", "bit", *lanes], likely, confirm, "near", once, apart)
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     named_class = classes.join(lowest, "label").select("node", "component_id")

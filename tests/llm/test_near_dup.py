@@ -52,6 +52,27 @@ def test_a_large_group_of_near_copies_stays_linear(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 2)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_on_both_sides_of_the_threshold(spark, monkeypatch, seed):
+    """Copies with few and with many edits, drawn from few words: many pairs are just below the threshold."""
+    from ragloom.llm import linking
+
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(148)]
+    docs = []
+    for i in range(260):
+        copy = list(base)
+        for _ in range(rng.randint(1, 15)):
+            copy[rng.randrange(148)] = f"x{rng.randrange(12)}"
+        docs.append((i, " ".join(copy)))
+    steps = []
+    plain = linking._links
+    monkeypatch.setattr(linking, "_links", lambda pairs, confirm, before, name: (steps.append(name), plain(pairs, confirm, before, name))[1])
+    got = near_dup(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 2)
+    assert "near-apart" in steps
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "alone here"), (9, None), (None, None)]
     got = near_dup(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()
