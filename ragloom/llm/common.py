@@ -55,6 +55,18 @@ def safe_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def row_mark(id_col: str, text_col: str) -> Column:
+    """64-bit identity of a row by id and text; rows that share it can stand for one another."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), safe_text(text_col))
+
+
+def one_of_each(rows: DataFrame, twins: DataFrame, key: str) -> DataFrame:
+    """`rows` with a single row for each key in `twins`."""
+    if twins.isEmpty():
+        return rows
+    return rows.join(twins, key, "left_anti").unionByName(rows.join(twins, key, "left_semi").dropDuplicates([key]))
+
+
 def parallelism(spark: SparkSession) -> int:
     """How many partitions a shuffle gets: the session's own setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import safe_text, table, written
+from ragloom.llm.common import one_of_each, row_mark, safe_text, table, written
 from ragloom.llm.linking import linked_components
 from ragloom.llm.text_arrays import mix, pieces, word_hashes
 
@@ -78,7 +78,7 @@ def _fingerprints(sets: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint of the set), key (array of posting keys), sketch (array of 4 coordinates a long)."""
+    """doc_id, n_shingles, node (fingerprint of the set), key (array of posting keys), sketch (array of 4 coordinates a long), mark (as given)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +95,9 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                     width = values.shape[1]
                     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
 
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n), pa.array(_fingerprints(sets, borders)), lists(keys), lists(sketch)], ["doc_id", "n_shingles", "node", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n), pa.array(_fingerprints(sets, borders)), lists(keys), lists(sketch), batch.column(2).slice(at, len(texts))], ["doc_id", "n_shingles", "node", "key", "sketch", "mark"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, key array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, key array<long>, sketch array<long>, mark long")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -175,17 +175,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.mapInPandas(run, "a long, b long")
 
 
-def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
-
-    A set is the distinct shingle_words-word shingles of the whole text, or all words as one shingle where there are fewer. Defined
-    results: a text that is null or has no words has an empty set and no links; equal sets are linked whatever their number; a null
-    doc_id is reachable but names no component (a component of nulls alone has component_id null); kept is false for it unless the
-    component is null too; repeated rows are documents of one class and keep one shared verdict; an empty table gives no rows; other
-    columns are not read. Links below the sketch threshold by chance (probability under 1 in 10,000 at similarity 0.8, less above) are
-    the only ones that can be missed, and only where no other path connects the two.
-    """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), safe_text(text_col).alias("t"))
+def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with doc_id, n_shingles, node and mark (row_mark), and (node, label) of the nodes with a link."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), safe_text(text_col).alias("t"), row_mark(id_col, text_col).alias("mark"))
     rows = written(signed(src, shingle_words), "near-signed")
     lanes = [f"s{i}" for i in range(_LANES)]
     # sets of fewer than four shingles can only be linked by equality: 3 of 4 is below 80 in 100 (checked for the given percent)
@@ -245,7 +237,20 @@ def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         met = firsts.where("leads").alias("x").join(firsts.alias("y"), meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         return met.join(left.select(F.col("node").alias("a"), F.struct("node", "n", *lanes).alias("x")), "a").join(left.select(F.col("node").alias("b"), F.struct("node", "n", *lanes).alias("y")), "b").where(likely("x", "y"))
 
-    labels = linked_components(lists, ["n", "mask", "bit", *lanes], likely, confirm, "near", once, apart)
+    return rows, linked_components(lists, ["n", "mask", "bit", *lanes], likely, confirm, "near", once, apart)
+
+
+def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
+
+    A set is the distinct shingle_words-word shingles of the whole text, or all words as one shingle where there are fewer. Defined
+    results: a text that is null or has no words has an empty set and no links; equal sets are linked whatever their number; a null
+    doc_id is reachable but names no component (a component of nulls alone has component_id null); kept is false for it unless the
+    component is null too; repeated rows are documents of one class and keep one shared verdict; an empty table gives no rows; other
+    columns are not read. Links below the sketch threshold by chance (probability under 1 in 10,000 at similarity 0.8, less above) are
+    the only ones that can be missed, and only where no other path connects the two.
+    """
+    rows, labels = linked_nodes(docs, id_col, text_col, shingle_words, percent)
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     named_class = classes.join(lowest, "label").select("node", "component_id")
@@ -254,6 +259,22 @@ def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` less all but one of each component, whatever their ids; rows without words stay.
+
+    Decided by row, not by doc_id: the row of smallest doc_id stays (nulls last, then by row_mark), one of those with equal id and text.
+    """
+    rows, labels = linked_nodes(docs, id_col, text_col, shingle_words, percent)
+    full = rows.where("n_shingles > 0").select("doc_id", "mark", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = full.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first"))
+    stay = written(first.select(F.col("first.mark").alias("_mark")), "near-stay")
+    marks = full.select(F.col("mark").alias("_mark"))
+    gone = marks.join(stay, "_mark", "left_anti").distinct()
+    twins = marks.join(stay, "_mark", "left_semi").groupBy("_mark").count().where("count > 1").select("_mark")
+    left = docs.withColumn("_mark", row_mark(id_col, text_col)).join(gone, "_mark", "left_anti")
+    return one_of_each(left, written(twins, "near-twins"), "_mark").select(*docs.columns)
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 

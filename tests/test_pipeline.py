@@ -1,0 +1,20 @@
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t) if t is not None else None) for i, t, s in rows], SCHEMA)
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(30))
+
+    rows = [(1, text("a"), "k"), (None, text("a"), "k"), (None, text("b"), "k"), (None, text("c"), "k"), (None, text("c") + " more", "k"), (None, text("d"), "k"), (None, text("d"), "z")]
+    rows += [(7, text("a") + " end", "k"), (7, text("e"), "k"), (7, text("f"), "k"), (7, text("f").upper(), "k"), (8, text("g"), "k"), (8, text("g"), "k"), (None, None, "k"), (None, "", "k"), (9, "", "k")]
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    stay = [(r.doc_id, r.text.split(" ")[0].lower()[0]) for r in got.collect() if r.text]
+    assert sorted(stay, key=lambda r: r[1]) == [(1, "a"), (None, "b"), (None, "c"), (None, "d"), (7, "e"), (7, "f"), (8, "g")]
+    assert got.where("coalesce(text, '') = ''").count() == 3
