@@ -18,3 +18,14 @@ def test_one_row_of_each_component_stays_whatever_its_id(spark):
     stay = [(r.doc_id, r.text.split(" ")[0].lower()[0]) for r in got.collect() if r.text]
     assert sorted(stay, key=lambda r: r[1]) == [(1, "a"), (None, "b"), (None, "c"), (None, "d"), (7, "e"), (7, "f"), (8, "g")]
     assert got.where("coalesce(text, '') = ''").count() == 3
+
+
+def test_lines_go_only_where_their_own_row_repeats_them(spark):
+    one, two, three, four, five = (f"{w} number {w} of the fixture" for w in ("alpha", "bravo", "charlie", "delta", "echoes"))
+    rows = [(1, one, "k"), (None, f"{one}\n{two}", "k"), (None, f"{three}\n{four}", "k"), (None, five, "k"), (None, five, "z"), (7, f"{one}\nseven of its own kind", "k"), (7, "another text for seven", "k"), (7, f"{three}", "k"), (8, None, "k"), (None, "", "k")]
+    got = corpus_pipeline.drop_repeated_lines(spark, frame(spark, rows), "").collect()
+    texts = [r.text for r in got if r.text]
+    lines = sorted(line for t in texts for line in t.split("\n"))
+    assert lines == sorted([one, two, three, four, five, "seven of its own kind", "another text for seven"])
+    assert sorted((r.doc_id or 0, r.text) for r in got if not r.text and r.doc_id is None) == [(0, "")]
+    assert len(got) == len(texts) + 2
