@@ -19,8 +19,8 @@ def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str,
 
     lists: rows (key, node, *facts), read more than once, so written beforehand. likely(x, y): a condition on the facts of two aliased
     rows. confirm(pairs): the rows of (a, b) that are links. once(x, y): holds for one of the lists that two rows share, where known.
-    apart(nodes): of nodes (node, label, leads, *facts), the pairs (aliased x, y; x leads, labels differ) that are likely and that a bound
-    does not rule out. Where it is given and many pairs are left after the first meeting, it takes the place of the turns.
+    apart(nodes): of nodes (node, label, leads, *facts), the pairs (x.node, y.node; x leads, labels differ) that an exact bound does not
+    rule out. Where it is given and many pairs are left after the first meeting, it takes the place of the turns.
 
     First every member of a list meets one member. Then turns follow in the lists whose members still lie in several components: members
     outside the list's most frequent component meet a few members of it, others each turn, and components are made anew. When what is

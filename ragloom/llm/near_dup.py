@@ -1,9 +1,9 @@
 """Operator 5, MinHash near-duplicates by an inverted join over signature coordinates.
 
 Documents with equal shingle sets form a class; one node stands for it. A node is posted under its (coordinate, value) pairs. Two nodes
-whose signatures agree in MATCH of COORDINATES places share a pair among the COORDINATES - MATCH + 1 rarest of either (prefix), so only
+whose signatures agree in m of COORDINATES places (least_match) share a pair among the COORDINATES - m + 1 rarest of either (prefix), so only
 these posting lists are joined; the longer lists are never merged: the sketch that every posting carries gives the remaining collisions
-(skip). Pairs at or above MATCH are confirmed on the full sets.
+(skip). Pairs at or above m are confirmed on the full sets.
 
 Components are made from the lists without expanding any into all its pairs (linking.py).
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,26 @@ from ragloom.llm.linking import linked_components
 from ragloom.llm.text_arrays import mix, pieces, word_hashes
 
 _U = np.uint64
-COORDINATES, MATCH = 64, 41
+COORDINATES = 64
+#: How likely a pair exactly at the threshold may fall below least_match.
+MISS = 1e-6
 #: Longs of a sketch: 16 bits of each coordinate, coordinate c in long c // 4.
 _LANES = COORDINATES // 4
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, (COORDINATES, 2), dtype=np.uint64) | _U(1)
 
 
+def least_match(percent: int) -> int:
+    """The most coordinates that a pair at a similarity of percent agrees in with a probability of at least 1 - MISS."""
+    p, below = percent / 100, 0.0
+    for m in range(COORDINATES + 1):
+        below += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if below > MISS:
+            break
+    if not m:
+        raise ValueError(f"{COORDINATES} coordinates cannot find pairs at {percent} percent with a miss rate of {MISS}")
+    return m
+
+
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of every text, one text after the other, their borders)."""
     words, first, count = word_hashes(texts)
@@ -179,7 +194,7 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
     """The rows with doc_id, n_shingles, node and mark (row_mark), and (node, label) of the nodes with a link."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), safe_text(text_col).alias("t"), row_mark(id_col, text_col).alias("mark"))
     rows = written(signed(src, shingle_words), "near-signed")
-    lanes = [f"s{i}" for i in range(_LANES)]
+    lanes, match = [f"s{i}" for i in range(_LANES)], least_match(percent)
     # sets of fewer than four shingles can only be linked by equality: 3 of 4 is below 80 in 100 (checked for the given percent)
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
     nodes = rows.where(f"n_shingles >= {least}").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("key").alias("key"), F.first("sketch").alias("sketch"))
@@ -190,7 +205,7 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
     frequent = written(posted.groupBy("key").count().where("count > 1"), "near-lists")
     # the prefix: the rarest pairs of a node; a pair of its own only takes a place in it
     ranked = posted.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "key", "bit"))).alias("common"))
-    take = F.lit(COORDINATES - MATCH + 1) - (F.lit(COORDINATES) - F.size("common"))
+    take = F.lit(COORDINATES - match + 1) - (F.lit(COORDINATES) - F.size("common"))
     prefix = ranked.where(take > 0).select("node", F.slice("common", 1, F.greatest(take, F.lit(1))).alias("taken"))
     prefix = prefix.select("node", F.aggregate("taken", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(one_bit(t["bit"]))).alias("mask"), F.explode("taken").alias("t")).select("node", "mask", "t.key", "t.bit")
     lists = written(prefix.join(nodes.select("node", "n", *lanes), "node"), "near-prefix")
@@ -200,7 +215,7 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
 
     def likely(x: str, y: str) -> Column:
         sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
-        return sizes & (F.bit_count(agreed(x, y)) >= MATCH)
+        return sizes & (F.bit_count(agreed(x, y)) >= match)
 
     def once(x: str, y: str) -> Column:
         # of the lists that both prefixes have, the one of the lowest bit
@@ -235,7 +250,7 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
         most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
         meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & ((100 + percent) * most >= percent * (F.col("x.size") + F.col("y.size")))
         met = firsts.where("leads").alias("x").join(firsts.alias("y"), meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        return met.join(left.select(F.col("node").alias("a"), F.struct("node", "n", *lanes).alias("x")), "a").join(left.select(F.col("node").alias("b"), F.struct("node", "n", *lanes).alias("y")), "b").where(likely("x", "y"))
+        return met.select(F.struct(F.col("a").alias("node")).alias("x"), F.struct(F.col("b").alias("node")).alias("y"))
 
     return rows, linked_components(lists, ["n", "mask", "bit", *lanes], likely, confirm, "near", once, apart)
 
@@ -247,8 +262,8 @@ def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     results: a text that is null or has no words has an empty set and no links; equal sets are linked whatever their number; a null
     doc_id is reachable but names no component (a component of nulls alone has component_id null); kept is false for it unless the
     component is null too; repeated rows are documents of one class and keep one shared verdict; an empty table gives no rows; other
-    columns are not read. Links below the sketch threshold by chance (probability under 1 in 10,000 at similarity 0.8, less above) are
-    the only ones that can be missed, and only where no other path connects the two.
+    columns are not read. Links below the sketch threshold by chance (least_match: probability at most MISS at exactly percent, less
+    above) are the only ones that can be missed, and only where no other path connects the two.
     """
     rows, labels = linked_nodes(docs, id_col, text_col, shingle_words, percent)
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
