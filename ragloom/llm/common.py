@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +29,32 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as a table in the shared folder and read it back.
+#: Folders of the scratch blocks that are open, innermost last.
+_OPEN: ContextVar[tuple[str, ...]] = ContextVar("_OPEN", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go away at the end, but for those written one level up; so do the shuffle files of steps that nothing refers to."""
+    folder = f"{shared_folder(spark)}/ragloom/scratch-{uuid.uuid4().hex}"
+    token = _OPEN.set((*_OPEN.get(), folder))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark._jvm.System.gc()
+
+
+def written(df: DataFrame, name: str, up: int = 0) -> DataFrame:
+    """Cut the lineage: write `df` as a table in the shared folder and read it back. It lasts as long as the scratch block, `up` levels out.
 
     A lost executor costs only a new read, never a new run of what came before.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ragloom/{name}-{uuid.uuid4().hex}"
+    spark, blocks = df.sparkSession, _OPEN.get()
+    folder = blocks[-1 - up] if up < len(blocks) else f"{shared_folder(spark)}/ragloom"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

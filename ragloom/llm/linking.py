@@ -4,60 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import written
+from ragloom.llm.common import scratch, written
 from ragloom.llm.components import components
 
 #: Members of a list's most frequent component that its other members meet in a turn, and turns at most before all remaining pairs.
-CENTRES, TURNS = 4, 12
+CENTRES, TURNS = 2, 3
+#: Neighbours that a member of a list meets in the first turn, and rows of a list that are put in order together.
+NEIGHBOURS, DEALT = 3, 1000
 
 
-def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], name: str, once: Callable[[str, str], Column] | None = None, apart: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], name: str, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, label) of every node with a confirmed link; the components are those of all confirmed pairs that share a list.
 
-    lists: rows (key, node, *facts), read more than once, so written beforehand. likely(x, y): a condition on the facts of two aliased
-    rows. confirm(pairs): the rows of (a, b) that are links. once(x, y): holds for one of the lists that two rows share, where known.
-    apart(nodes): of nodes (node, label, leads, *facts), the pairs (x.node, y.node; x leads, labels differ) that an exact bound does not
-    rule out. Where it is given and many pairs are left after the first meeting, it takes the place of the turns.
+    lists: rows (key, node, rank, *facts), read more than once, so written beforehand. rank: how typical a node is of the lists that it
+    is in (the same in all of them); the most typical meet others first. likely(x, y): a condition on the facts of two aliased rows.
+    confirm(pairs): the rows of (a, b) that are links. rest(nodes): of nodes (node, label, leads), the pairs (aliased x
+    and y; x leads, labels differ) that an exact bound does not rule out, in place of the last step's pairs of a list.
 
-    First every member of a list meets one member. Then turns follow in the lists whose members still lie in several components: members
-    outside the list's most frequent component meet a few members of it, others each turn, and components are made anew. When what is
-    left is few pairs, or a turn found hardly a link, the outsiders meet all members of other components. Two members of one component need
-    not meet, so the result is that of all pairs, while a list of m near copies costs about m pairs a turn, not m * m.
+    First every member of a list meets its most typical member. Then turns follow in the lists whose members still lie in several
+    components: in the first, members meet their NEIGHBOURS in order of the first fact (a length or size); after that, members outside
+    the list's most frequent component meet its next most typical members; components are made anew in each. As rank is the same in all lists, the members of a group meet the same few nodes in each list that they share. Last,
+    what is left meets all members of other components, or those that rest leaves. Two members of one component need not meet, so the result is that of all pairs,
+    while a list of m near copies costs about m pairs a turn, not m * m.
     """
-    row = F.struct("node", *facts)
-    heads = lists.groupBy("key").agg(F.min_by(row, F.xxhash64("node")).alias("h"), F.count("*").alias("members")).where("members > 1").select("key", "h.*")
-    met = heads.alias("x").join(lists.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & likely("x", "y"))
-    links, labels = _links(met, confirm, None, f"{name}-0")
+    spark = lists.sparkSession
+    with scratch(spark):
+        row, order = F.struct("node", *facts), F.struct("rank", F.xxhash64("node"))
+        heads = lists.groupBy("key").agg(F.max_by(row, order).alias("h"), F.count("*").alias("members")).where("members > 1").select("key", "h.*")
+        met = heads.alias("x").join(lists.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & likely("x", "y"))
+        links, labels = _links(met, confirm, None, f"{name}-0")
 
-    left, gain, postings = lists, 1.0, lists.count()
-    for turn in range(1, TURNS + 1):
-        marked = left.select("key", "node", *facts).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = marked.groupBy("key", "label").count()
-        # a list of two has met
-        modal = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("modal"), F.sum("count").alias("members"), F.count("*").alias("parts")).where("parts > 1 AND members > 2")
-        left = written(marked.join(modal.select("key", "modal", "members"), "key"), f"{name}-left")
-        cost = left.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("label") != F.col("modal"), F.col("members"))).alias("pairs")).first()
-        if not cost["rows"]:
-            return labels
-        if apart and (cost["pairs"] or 0) > 4 * postings:
-            met = apart(left.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("modal")).alias("leads"), *(F.first(f).alias(f) for f in facts)))
-            return _links(met, confirm, links, f"{name}-apart")[1]
-        if gain < 0.02 or (cost["pairs"] or 0) <= 4 * postings or turn == TURNS:
-            break
-        inside = left.where("label = modal").groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(row, F.xxhash64("node", F.lit(CENTRES * turn + i))) for i in range(CENTRES)))).alias("centres"))
-        centres = inside.select("key", F.explode("centres").alias("h")).select("key", "h.*")
-        met = centres.alias("x").join(left.where("label <> modal").alias("y"), (F.col("x.key") == F.col("y.key")) & likely("x", "y"))
-        before = links.count()
-        links, labels = _links(met, confirm, links, f"{name}-{turn}")
-        gain = links.count() / max(1, before) - 1
+        left = lists
+        for turn in range(1, TURNS + 1):
+            marked = left.select("key", "node", "rank", *facts).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            sizes = marked.groupBy("key", "label").count()
+            # a list of two has met
+            modal = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("modal"), F.sum("count").alias("members"), F.count("*").alias("parts")).where("parts > 1 AND members > 2")
+            left = written(marked.join(modal.select("key", "modal", "members"), "key"), f"{name}-left")
+            cost = left.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("label") != F.col("modal"), F.col("members"))).alias("pairs")).first()
+            if not cost["rows"]:
+                return written(labels, f"{name}-done", up=1)
+            if cost["pairs"] <= 4 * cost["rows"] or turn == TURNS:
+                break
+            if turn == 1:
+                # long lists are dealt into groups of about DEALT
+                group = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("members") / DEALT))
+                w = Window.partitionBy("key", group).orderBy(facts[0], "node")
+                row = F.struct("node", "label", *facts)
+                met = left.select(row.alias("x"), F.array(*(F.lead(row, i).over(w) for i in range(1, NEIGHBOURS + 1))).alias("next")).select("x", F.explode("next").alias("y")).where((F.col("x.label") != F.col("y.label")) & likely("x", "y"))
+            else:
+                place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rank"), F.xxhash64("node"), "node"))
+                best = left.where("label = modal").select("key", "node", "rank", *facts).withColumn("place", place).where(F.col("place") <= CENTRES * (turn - 1) + 1)
+                centres = best.where(F.col("place") > CENTRES * (turn - 2) + 1).drop("place")
+                met = centres.alias("x").join(left.where("label <> modal").alias("y"), (F.col("x.key") == F.col("y.key")) & likely("x", "y"))
+            links, labels = _links(met, confirm, links, f"{name}-{turn}")
 
-    # between two outsiders the smaller node leads; with a member of the most frequent component the outsider does
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.modal")) | (F.col("x.node") < F.col("y.node")))
-    met = left.where("label <> modal").alias("x").join(left.alias("y"), meets & likely("x", "y") & (once("x", "y") if once else F.lit(True)))
-    return _links(met, confirm, links, f"{name}-all")[1]
+        if rest:
+            nodes = left.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("modal")).alias("leads"))
+            return written(_links(rest(nodes), confirm, links, f"{name}-all")[1], f"{name}-done", up=1)
+        # between two outsiders the smaller node leads; with a member of the most frequent component the outsider does
+        meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.modal")) | (F.col("x.node") < F.col("y.node")))
+        met = left.where("label <> modal").alias("x").join(left.alias("y"), meets & likely("x", "y"))
+        return written(_links(met, confirm, links, f"{name}-all")[1], f"{name}-done", up=1)
 
 
 def _links(met: DataFrame, confirm, before: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,8 @@
 Documents with equal shingle sets form a class; one node stands for it. A node is posted under its (coordinate, value) pairs. Two nodes
 whose signatures agree in m of COORDINATES places (least_match) share a pair among the COORDINATES - m + 1 rarest of either (prefix), so only
 these posting lists are joined; the longer lists are never merged: the sketch that every posting carries gives the remaining collisions
-(skip). Pairs at or above m are confirmed on the full sets.
+(skip). Pairs at or above m are confirmed on the full sets. What lies in one list but in different components after that must, besides,
+share one of its rarest shingles, an exact bound that keeps documents with a common passage apart.
 
 Components are made from the lists without expanding any into all its pairs (linking.py).
 """
@@ -135,11 +136,12 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(packed.as_buffer(), np.int64)
-                for at in range(0, len(values), 1 << 18):
-                    part = values[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], ["node", "shingle"])
+            packed = batch.column(1).cast(pa.large_binary())
+            borders = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+            nodes = np.repeat(batch.column(0).to_numpy(), np.diff(borders) // 8)
+            values = np.frombuffer(packed.buffers()[2], np.uint8)[borders[0] : borders[-1]].view(np.int64)
+            for at in range(0, len(values), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 18)]), pa.array(values[at : at + (1 << 18)])], ["node", "shingle"])
 
     seen = sets.select("node", "set").mapInArrow(run, "node long, shingle long")
     counts = seen.groupBy("shingle").agg(F.count("*").alias("sets"))
@@ -160,19 +162,6 @@ def agreement(left: list[Column], right: list[Column]) -> Column:
     return out
 
 
-def coordinate_bit(coordinate: Column) -> Column:
-    """The number of the bit that agreement() has for a coordinate."""
-    return (16 * (coordinate % 4) + F.floor(coordinate / 4)).cast("int")
-
-
-def one_bit(bit: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-
-
-def bits_below(bit: Column) -> Column:
-    return F.call_function("shiftrightunsigned", F.lit(0x7FFFFFFFFFFFFFFF).cast("long"), F.lit(63) - bit)
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * |intersection| >= percent * |union|."""
     found = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
@@ -201,13 +190,14 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
     nodes = nodes.select("node", "n", "key", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(_LANES)))
     nodes = written(nodes, "near-nodes")
 
-    posted = nodes.select("node", F.posexplode("key").alias("place", "key")).select("node", "key", coordinate_bit(F.col("place")).alias("bit"))
+    posted = nodes.select("node", F.explode("key").alias("key"))
     frequent = written(posted.groupBy("key").count().where("count > 1"), "near-lists")
     # the prefix: the rarest pairs of a node; a pair of its own only takes a place in it
-    ranked = posted.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "key", "bit"))).alias("common"))
+    ranked = posted.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("common"))
     take = F.lit(COORDINATES - match + 1) - (F.lit(COORDINATES) - F.size("common"))
-    prefix = ranked.where(take > 0).select("node", F.slice("common", 1, F.greatest(take, F.lit(1))).alias("taken"))
-    prefix = prefix.select("node", F.aggregate("taken", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(one_bit(t["bit"]))).alias("mask"), F.explode("taken").alias("t")).select("node", "mask", "t.key", "t.bit")
+    # a node is as typical as the lists of all its pairs are long
+    rank = F.aggregate("common", F.lit(0).cast("long"), lambda n, t: n + t["count"])
+    prefix = ranked.where(take > 0).select("node", rank.alias("rank"), F.explode(F.slice("common", 1, F.greatest(take, F.lit(1)))).alias("t")).select("node", "rank", "t.key")
     lists = written(prefix.join(nodes.select("node", "n", *lanes), "node"), "near-prefix")
 
     def agreed(x: str, y: str) -> Column:
@@ -217,11 +207,6 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
         sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
         return sizes & (F.bit_count(agreed(x, y)) >= match)
 
-    def once(x: str, y: str) -> Column:
-        # of the lists that both prefixes have, the one of the lowest bit
-        shared = agreed(x, y).bitwiseAND(F.col(f"{x}.mask")).bitwiseAND(F.col(f"{y}.mask"))
-        return shared.bitwiseAND(bits_below(F.col(f"{x}.bit"))) == 0
-
     # a set is needed once for each node: from the document of smallest id in the class
     named = rows.where(f"n_shingles >= {least}").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     pool: list[DataFrame] = []
@@ -241,7 +226,7 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
             return pairs.limit(0)
         return confirmed(pairs, reduce(DataFrame.unionByName, pool), percent)
 
-    def apart(left: DataFrame) -> DataFrame:
+    def rest(left: DataFrame) -> DataFrame:
         left = written(left, "near-left-nodes")
         load(left.select("node"))
         firsts = rare_shingles(reduce(DataFrame.unionByName, pool).join(left.select("node"), "node", "left_semi"), percent)
@@ -249,10 +234,9 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
         # of the shared shingles the first in the common order has nothing shared before it, so the intersection is within both rests
         most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
         meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & ((100 + percent) * most >= percent * (F.col("x.size") + F.col("y.size")))
-        met = firsts.where("leads").alias("x").join(firsts.alias("y"), meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        return met.select(F.struct(F.col("a").alias("node")).alias("x"), F.struct(F.col("b").alias("node")).alias("y"))
+        return firsts.where("leads").alias("x").join(firsts.alias("y"), meets)
 
-    return rows, linked_components(lists, ["n", "mask", "bit", *lanes], likely, confirm, "near", once, apart)
+    return rows, linked_components(lists, ["n", *lanes], likely, confirm, "near", rest)
 
 
 def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
