@@ -64,7 +64,7 @@ def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str,
 
         if rest:
             nodes = left.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("modal")).alias("leads"))
-            return written(_links(rest(nodes), confirm, links, f"{name}-all")[1], f"{name}-done", up=1)
+            return written(_links(rest(nodes), confirm, links, f"{name}-apart")[1], f"{name}-done", up=1)
         # between two outsiders the smaller node leads; with a member of the most frequent component the outsider does
         meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.modal")) | (F.col("x.node") < F.col("y.node")))
         met = left.where("label <> modal").alias("x").join(left.alias("y"), meets & likely("x", "y"))
