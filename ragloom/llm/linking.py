@@ -12,8 +12,9 @@ from ragloom.llm.components import components
 
 #: Members of a list's most frequent component that its other members meet in a turn, and turns at most before all remaining pairs.
 CENTRES, TURNS = 2, 3
-#: Neighbours that a member of a list meets in the first turn, and rows of a list that are put in order together.
-NEIGHBOURS, DEALT = 3, 1000
+#: Neighbours that a member of a list meets in the first turn; rows of a list that are put in order together; members up to which a list's remaining pairs
+#: all meet where there is an exact bound for longer lists.
+NEIGHBOURS, DEALT, SHORT = 3, 500, 100
 
 
 def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], name: str, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -22,12 +23,12 @@ def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str,
     lists: rows (key, node, rank, *facts), read more than once, so written beforehand. rank: how typical a node is of the lists that it
     is in (the same in all of them); the most typical meet others first. likely(x, y): a condition on the facts of two aliased rows.
     confirm(pairs): the rows of (a, b) that are links. rest(nodes): of nodes (node, label, leads), the pairs (aliased x
-    and y; x leads, labels differ) that an exact bound does not rule out, in place of the last step's pairs of a list.
+    and y; x leads, labels differ) that an exact bound does not rule out, in place of the last step's pairs of lists of over SHORT.
 
     First every member of a list meets its most typical member. Then turns follow in the lists whose members still lie in several
     components: in the first, members meet their NEIGHBOURS in order of the first fact (a length or size); after that, members outside
     the list's most frequent component meet its next most typical members; components are made anew in each. As rank is the same in all lists, the members of a group meet the same few nodes in each list that they share. Last,
-    what is left meets all members of other components, or those that rest leaves. Two members of one component need not meet, so the result is that of all pairs,
+    what is left meets all members of other components, in long lists those that rest leaves. Two members of one component need not meet, so the result is that of all pairs,
     while a list of m near copies costs about m pairs a turn, not m * m.
     """
     spark = lists.sparkSession
@@ -62,13 +63,16 @@ def linked_components(lists: DataFrame, facts: list[str], likely: Callable[[str,
                 met = centres.alias("x").join(left.where("label <> modal").alias("y"), (F.col("x.key") == F.col("y.key")) & likely("x", "y"))
             links, labels = _links(met, confirm, links, f"{name}-{turn}")
 
-        if rest:
-            nodes = left.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("modal")).alias("leads"))
-            return written(_links(rest(nodes), confirm, links, f"{name}-apart")[1], f"{name}-done", up=1)
         # between two outsiders the smaller node leads; with a member of the most frequent component the outsider does
         meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.modal")) | (F.col("x.node") < F.col("y.node")))
-        met = left.where("label <> modal").alias("x").join(left.alias("y"), meets & likely("x", "y"))
-        return written(_links(met, confirm, links, f"{name}-all")[1], f"{name}-done", up=1)
+        short = left.where(F.col("members") <= SHORT) if rest else left
+        met = short.where("label <> modal").alias("x").join(short.alias("y"), meets & likely("x", "y"))
+        links, labels = _links(met, confirm, links, f"{name}-all")
+        long = left.where(F.col("members") > SHORT)
+        if rest and not long.isEmpty():
+            nodes = long.groupBy("node").agg(F.max(F.col("label") != F.col("modal")).alias("leads")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            links, labels = _links(rest(nodes), confirm, links, f"{name}-apart")
+        return written(labels, f"{name}-done", up=1)
 
 
 def _links(met: DataFrame, confirm, before: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
