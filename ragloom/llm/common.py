@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _OPEN.reset(token)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        spark._jvm.System.gc()
+        free(spark)
 
 
 def written(df: DataFrame, name: str, up: int = 0) -> DataFrame:
@@ -59,6 +60,12 @@ def written(df: DataFrame, name: str, up: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Have the driver drop the shuffle files of steps that nothing refers to, instead of whenever it next collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value), with `value` evaluated once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
