@@ -303,3 +303,6 @@ WHEN "last" = 'local' AND candidates > 0 THEN 'hyde/local_low_score' ELSE CASE W
 def planner_rule_policy(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", *(F.expr(v).alias(k) for k, v in _POLICY.items()))
     return rows.select("doc_id", metrics.rule_policy().alias("decision"))
+
+
+from ragloom.plans import inventory  # noqa: E402, F401  registers its queries
