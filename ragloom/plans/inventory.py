@@ -151,11 +151,11 @@ def ngram_jaccard_pairs(spark, sf_dir):
     return comparisons.gram_pairs(rows, None, "p_partkey", "t", n=3, percent=82)
 
 
-@query(_gram_sql("SELECT 'a' AS side, item_id AS id, text[1:200] AS t FROM benchmark UNION ALL SELECT 'b', doc_id * 1000 + i, line[1:200] FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, 1 + len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL) WHERE line IS NOT NULL AND length(line) > 0", "x.side = 'a' AND y.side = 'b'", 78))
+@query(_gram_sql("SELECT 'a' AS side, item_id AS id, text AS t FROM benchmark UNION ALL SELECT 'b', doc_id * 100000 + i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, 1 + len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL) WHERE line IS NOT NULL AND length(line) > 0", "x.side = 'a' AND y.side = 'b'", 78))
 def benchmark_leakage(spark, sf_dir):
-    held = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 200).alias("t"))
+    held = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("t"))
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where("length(line) > 0")
-    return comparisons.gram_pairs(held, lines.select((F.col("doc_id") * 1000 + F.col("i")).alias("id"), F.substring("line", 1, 200).alias("t")), "id", "t", n=3, percent=78)
+    return comparisons.gram_pairs(held, lines.select((F.col("doc_id") * 100000 + F.col("i")).alias("id"), F.col("line").alias("t")), "id", "t", n=3, percent=78)
 
 
 @query()
