@@ -11,7 +11,7 @@ from ragloom.llm.common import scratch, written
 from ragloom.llm.components import components
 
 #: Members of a list's most frequent component that its other members meet in a turn, and turns at most before all remaining pairs.
-CENTRES, TURNS = 2, 3
+CENTRES, TURNS = 2, 2
 #: Neighbours that a member of a list meets in the first turn; rows of a list that are put in order together; members up to which a list's remaining pairs
 #: all meet where there is an exact bound for longer lists.
 NEIGHBOURS, DEALT, SHORT = 3, 500, 100
