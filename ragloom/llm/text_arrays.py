@@ -9,6 +9,8 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _LETTER = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes that are hashed at once, or a single text: each takes some forty bytes of memory for the time.
+HASHED_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -39,6 +41,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A word is a maximal run of bytes other than 32 and 9 to 13. Its hash is a polynomial over a random value per byte, modulo 2**64,
     from differences of prefix sums, then mixed.
     """
+    parts = [_word_hashes(part) for _, part in pieces(texts, HASHED_BYTES)]
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    return hashes, np.cumsum(count) - count, count
+
+
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, borders = byte_view(texts)
     n = len(raw)
     if not n:
