@@ -96,7 +96,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rows: np.ndarray, borders: np.ndarray, label: np.ndarray, weight: np.ndarray, *, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Classifier:
+def bags_of(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its distinct rows and their shares of the average; little is held at once besides the bags themselves."""
+    bags = []
+    for _, part in pieces(texts, 1 << 17):
+        rows, borders = features(part)
+        for i in range(len(part)):
+            own, times = np.unique(rows[borders[i] : borders[i + 1]], return_counts=True)
+            bags.append((own, (times / (times.sum() + PULL)).astype(np.float32)))
+    return bags
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np.ndarray, *, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Classifier:
     """Fit on all but a fifth of the texts, calibrate on that fifth (Platt scaling). Without texts of both labels: the labels' mean."""
     n = len(label)
     if n < 10 or label.min() == label.max():
@@ -105,10 +116,9 @@ def train(rows: np.ndarray, borders: np.ndarray, label: np.ndarray, weight: np.n
     order = rng.permutation(n)
     held, used = order[: n // 5], order[n // 5 :]
     if label[used].min() == label[used].max():
-        held, used = order, order
-    vectors = (rng.standard_normal((ROWS, DIM)) / DIM).astype(np.float32)
+        held, used = order, order.copy()
+    vectors = (rng.standard_normal((ROWS, DIM), np.float32) / DIM).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    bags = [np.unique(rows[borders[i] : borders[i + 1]], return_counts=True) for i in range(n)]
     weight = weight / np.average(weight)
     step, steps = 0, epochs * len(used)
     for _ in range(epochs):
@@ -116,9 +126,8 @@ def train(rows: np.ndarray, borders: np.ndarray, label: np.ndarray, weight: np.n
         for i in used:
             now = rate * (1 - step / steps)
             step += 1
-            own, times = bags[i]
-            share = (times / (times.sum() + PULL)).astype(np.float32)
-            mean = share @ vectors[own] if len(own) else np.zeros(DIM, np.float32)
+            own, share = bags[i]
+            mean = share @ vectors[own]
             z = mean @ out + bias
             p = np.exp(z - z.max())
             error = p / p.sum()
@@ -128,19 +137,19 @@ def train(rows: np.ndarray, borders: np.ndarray, label: np.ndarray, weight: np.n
             out -= now * np.outer(mean, error)
             bias -= now * 0.1 * error
             if len(own):
-                # rows of one text share its error; dividing by the root of the shares' squares makes texts of any length move alike
+                # dividing by the root of the shares' squares makes texts of any length move alike
                 vectors[own] -= (now / np.sqrt((share * share).sum())) * share[:, None] * back
     evidence = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32)
     model = Classifier(evidence, float(bias[1] - bias[0]))
-    z = model.logits(rows, borders)[held]
-    z_scale = max(1e-6, np.abs(z).max())
+    z = np.array([bags[i][1] @ evidence[bags[i][0]] for i in held], float) + model.base
+    most = max(1e-6, np.abs(z).max())
     a, b, y, w = 1.0, 0.0, label[held].astype(float), weight[held]
-    z = z / z_scale * 4
+    z = z / most * 4
     for _ in range(2000):
         p = _sigmoid(a * z + b)
         a -= 0.3 * ((w * (p - y) * z).sum() / w.sum() + 0.005 * (a - 1))
         b -= 0.3 * ((w * (p - y)).sum() / w.sum() + 0.005 * b)
-    model.scale, model.shift = max(a, 0.05) * 4 / z_scale, b
+    model.scale, model.shift = max(a, 0.05) * 4 / most, b
     return model
 
 
@@ -161,14 +170,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROW
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Classifier:
     """docs: doc_id, t. labels: doc_id, label (0 or 1), one row per id."""
-    sample = labelled_rows(docs, labels, **bounds).toArrow().to_pandas()
-    sample = sample.iloc[np.lexsort((sample["doc_id"], sample["doc_id"].to_numpy(np.uint64) * _BASE))]
-    rows, borders = [], [0]
-    for _, part in pieces(pa.array(sample["t"], pa.string()), 1 << 20):
-        own, edges = features(part)
-        rows.append(own)
-        borders += list(borders[-1] + edges[1:])
-    return train(np.concatenate(rows) if rows else np.zeros(0, np.int32), np.array(borders), sample["label"].to_numpy(int), sample["weight"].to_numpy(float))
+    sample = labelled_rows(docs, labels, **bounds).toArrow()
+    ids = sample["doc_id"].to_numpy()
+    sample = sample.take(pa.array(np.lexsort((ids, ids.astype(np.uint64) * _BASE)))).combine_chunks()
+    texts = pa.concat_arrays([pa.array([], pa.large_string()), *sample["t"].cast(pa.large_string()).chunks])
+    return train(bags_of(texts), sample["label"].to_numpy().astype(int), sample["weight"].to_numpy())
 
 
 def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
