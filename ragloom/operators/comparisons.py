@@ -1,11 +1,7 @@
-"""Runs and samples against each other: pairs, deltas, near and leaked texts (4.7-4.13, 10.19)."""
+"""Runs and samples against each other: pairs, deltas, bindings, n-grams (4.7-4.13, 10.17)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,41 +32,3 @@ def grams(text: Column, n: int) -> Column:
         return F.when(F.size(c) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
 
     return F.element_at(F.transform(F.array(chars), of), 1)
-
-
-def gram_pairs(left: DataFrame, right: DataFrame | None, id_col: str, text_col: str, *, n: int = 3, percent: int = 82) -> DataFrame:
-    """(a, b, jaccard) of all pairs at a Jaccard similarity of percent or more over n-grams (4.9; 4.11 with two tables).
-
-    An inverted join over the prefixes of sets in one order of rarity: sets of that similarity share one of their rarest size -
-    ceil(size * percent / 100) + 1 grams, so only rare grams are joined, never all pairs, and none is missed. Of one table: a < b.
-    """
-    sides = {"a": left} if right is None else {"a": left, "b": right}
-    sets = None
-    for name, df in sides.items():
-        one = df.select(F.lit(name).alias("side"), F.col(id_col).alias("id"), grams(F.col(text_col), n).alias("set"))
-        sets = one if sets is None else sets.unionByName(one)
-    posted = sets.select("side", "id", F.size("set").alias("size"), F.explode("set").alias("gram"))
-    counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = posted.join(counts, "gram").groupBy("side", "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
-    take = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
-    firsts = ranked.select("side", "id", "size", F.explode(F.slice("grams", 1, take)).alias("g")).select("side", "id", "size", "g.gram")
-    x, y = firsts.alias("x"), firsts.alias("y")
-    sizes = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
-    who = (F.col("x.id") < F.col("y.id")) if right is None else ((F.col("x.side") == "a") & (F.col("y.side") == "b"))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & who & sizes).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    own = {name: sets.where(F.col("side") == (name if right is not None else "a")).select(F.col("id").alias(name), F.col("set").alias(f"set_{name}")) for name in ("a", "b")}
-    both = met.join(own["a"], "a").join(own["b"], "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - shared
-    return both.where(100 * shared >= percent * union).select("a", "b", F.round(shared / union, 6).alias("jaccard"))
-
-
-def sequence_ratios(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """pairs with `ratio`: 2 M / T over the longest matching blocks found in turn, 1 for two empty texts (10.19). Has no built-in form."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["ratio"] = [SequenceMatcher(None, x or "", y or "", autojunk=True).ratio() for x, y in zip(frame[left], frame[right], strict=True)]
-            yield frame
-
-    return pairs.mapInPandas(run, f"{pairs._jdf.schema().toDDL()}, ratio double")

@@ -305,4 +305,4 @@ def planner_rule_policy(spark, sf_dir):
     return rows.select("doc_id", metrics.rule_policy().alias("decision"))
 
 
-from ragloom.plans import inventory  # noqa: E402, F401  registers its queries
+from ragloom.plans import curation, inventory  # noqa: E402, F401  register their queries

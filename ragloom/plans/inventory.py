@@ -139,33 +139,6 @@ def last_evidence_binding(spark, sf_dir):
     return comparisons.last_binding(table(spark, sf_dir, "part").select("p_partkey"), lines, "p_partkey", "l_orderkey", ["l_quantity"])
 
 
-def _gram_sql(sides: str, who: str, percent: int) -> str:
-    return f"""WITH s AS ({sides}), g AS (SELECT DISTINCT side, id, t[i:i+2] AS g FROM (SELECT side, id, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM s WHERE length(t) > 0)),
-n AS (SELECT side, id, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT x.side AS sa, y.side AS sb, x.id AS a, y.id AS b, count(*) AS k FROM g x JOIN g y USING (g) WHERE {who} GROUP BY ALL)
-SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.id = a AND x.side = sa JOIN n y ON y.id = b AND y.side = sb WHERE 100 * k >= {percent} * (x.n + y.n - k)"""
-
-
-@query(_gram_sql("SELECT 'a' AS side, p_partkey AS id, lower(p_name || ' ' || p_type) AS t FROM part", "x.id < y.id", 82))
-def ngram_jaccard_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
-    return comparisons.gram_pairs(rows, None, "p_partkey", "t", n=3, percent=82)
-
-
-@query(_gram_sql("SELECT 'a' AS side, item_id AS id, text AS t FROM benchmark UNION ALL SELECT 'b', doc_id * 100000 + i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, 1 + len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL) WHERE line IS NOT NULL AND length(line) > 0", "x.side = 'a' AND y.side = 'b'", 78))
-def benchmark_leakage(spark, sf_dir):
-    held = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("t"))
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where("length(line) > 0")
-    return comparisons.gram_pairs(held, lines.select((F.col("doc_id") * 100000 + F.col("i")).alias("id"), F.col("line").alias("t")), "id", "t", n=3, percent=78)
-
-
-@query()
-def sequence_ratio_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
-    pairs = comparisons.gram_pairs(rows, None, "p_partkey", "t", n=3, percent=82).select("a", "b")
-    left, right = rows.select(F.col("p_partkey").alias("a"), F.col("t").alias("left")), rows.select(F.col("p_partkey").alias("b"), F.col("t").alias("right"))
-    return comparisons.sequence_ratios(pairs.join(left, "a").join(right, "b"), "left", "right").select("a", "b", F.round("ratio", 6).alias("ratio"))
-
-
 # --- aggregates (5.x) ------------------------------------------------------------------------------------------------------------------------
 @query("""SELECT source, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 1000) AS long, count(DISTINCT lower(trim(text))) AS texts, count(DISTINCT lang) FILTER (lang <> 'en') AS others FROM documents GROUP BY 1""")
 def conditional_counts(spark, sf_dir):
