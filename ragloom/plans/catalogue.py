@@ -277,15 +277,25 @@ def exact_dup_groups(spark, sf_dir):
     return keyed.groupBy("key_sha1").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
 
 
-@query()
+#: The documents hold no headings: every fifth line becomes one, every ninth a fence.
+_MARKED = "CASE WHEN i % 9 = 4 THEN '```' WHEN i % 5 = 2 THEN '## ' || left(l, 20) ELSE l END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l, i: {_MARKED.replace('i %', '(i - 1) %')}) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i, regexp_replace(l, '^\\s+|\\s+$', '', 'g') AS l FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(0, len(ls))) AS i FROM t)),
+f AS (SELECT *, starts_with(l, '```') OR starts_with(l, '~~~') AS fence FROM l WHERE l <> ''), o AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS open FROM f),
+r AS (SELECT *, sum((NOT fence AND NOT open AND regexp_matches(l, '^#{{1,6}}\\s.+'))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+s AS (SELECT doc_id, run, arg_min(l, i) AS first, string_agg(l, chr(10) ORDER BY i) AS content, run > 0 AND count(*) > 1 AS whole FROM r GROUP BY doc_id, run),
+k AS (SELECT * FROM s QUALIFY whole OR (NOT bool_or(whole) OVER (PARTITION BY doc_id) AND run = max(run) OVER (PARTITION BY doc_id)))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS section, CASE WHEN whole THEN first ELSE 'default' END AS title, content FROM k""")
 def title_sections(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return chunking.title_sections(docs.select("doc_id", F.concat_ws("\n", F.concat(F.lit("# "), "source"), "text").alias("text")))
+    marked = F.array_join(F.expr(f"transform(split(regexp_replace(text, '\\r\\n?', '\\n'), '\\n'), (l, i) -> {_MARKED})"), "\n")
+    return chunking.title_sections(table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")))
 
 
 @query()
 def recursive_chunks(spark, sf_dir):
-    return chunking.recursive_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.recursive_chunks(table(spark, sf_dir, "documents"))
 
 
 _POLICY = {

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
-from ragloom.operators import access, chunking, metrics, retrieval, sequences
+from ragloom.operators import access, metrics, retrieval, sequences
 from ragloom.sources import files
 from ragloom.streaming import rates
 
@@ -30,22 +30,6 @@ def test_canonical_url(spark, url, want):
     assert one(spark, url, T.canonical_url("x")) == want
 
 
-def test_sections():
-    assert chunking.sections_of("pre\n# A\nbody\n\n```\n# no\n```\n# B\n# C\r\nx") == [("A", ["# A", "body", "```", "# no", "```"]), ("C", ["# C", "x"])]
-    assert chunking.sections_of("# only") == [("default", ["# only"])]
-    assert chunking.sections_of(None) == chunking.sections_of(" \n") == []
-
-
-def test_chunks_keep_all_text_and_stay_short():
-    text = "# Title\n" + "\n".join(f"line {i} " + "ab。" * (1 + i % 40) for i in range(300))
-    chunks = chunking.chunks_of(text)
-    assert all(len(c["content"]) <= chunking.MAX_CHARS for c in chunks)
-    together = "".join(c["content"] for c in chunks)
-    assert all(f"line {i} " in together for i in range(300))
-    assert [c["part"] for c in chunks] == list(range(1, len(chunks) + 1))
-    assert chunking.chunks_of(None) == []
-
-
 def test_cliff(spark):
     rows = [(1, 1, 0.9), (1, 2, 0.88), (1, 3, 0.2), (1, 4, 0.1), (2, 1, 0.5), (3, 1, None), (3, 2, None)]
     got = retrieval.cliff_cut(spark.createDataFrame(rows, "query_id long, rank long, score double"))
