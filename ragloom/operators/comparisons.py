@@ -1,4 +1,4 @@
-"""Runs and samples against each other: pairs, deltas, bindings, n-grams (4.7-4.13, 10.17)."""
+"""Runs and samples against each other: pairs, deltas, bindings (4.7-4.13)."""
 
 from __future__ import annotations
 
@@ -21,14 +21,3 @@ def last_binding(evidence: DataFrame, candidates: DataFrame, key: str, order: st
     """Each evidence row with the last candidate of its key (4.7); unmatched rows stay, with nulls."""
     last = candidates.groupBy(key).agg(F.max(F.struct(order, *columns)).alias("_last")).select(key, F.col(f"_last.{order}").alias(order), *(F.col(f"_last.{c}").alias(c) for c in columns))
     return evidence.join(last, key, "left")
-
-
-def grams(text: Column, n: int) -> Column:
-    """Distinct runs of n characters; a shorter text is one, an empty one has none."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-
-    def of(c: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, n), ""))
-        return F.when(F.size(c) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
-
-    return F.element_at(F.transform(F.array(chars), of), 1)
