@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import one_of_each, row_mark, safe_text, table, written
+from ragloom.llm.common import free, one_of_each, row_mark, safe_text, scratch, table, written
 from ragloom.llm.linking import linked_components
 from ragloom.llm.text_arrays import mix, pieces, word_hashes
 
@@ -199,6 +199,7 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
     rank = F.aggregate("common", F.lit(0).cast("long"), lambda n, t: n + t["count"])
     prefix = ranked.where(take > 0).select("node", rank.alias("rank"), F.explode(F.slice("common", 1, F.greatest(take, F.lit(1)))).alias("t")).select("node", "rank", "t.key")
     lists = written(prefix.join(nodes.select("node", "n", *lanes), "node"), "near-prefix")
+    free(docs.sparkSession)
 
     def agreed(x: str, y: str) -> Column:
         return agreement([F.col(f"{x}.{lane}") for lane in lanes], [F.col(f"{y}.{lane}") for lane in lanes])
@@ -249,12 +250,15 @@ def near_dup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     columns are not read. Links below the sketch threshold by chance (least_match: probability at most MISS at exactly percent, less
     above) are the only ones that can be missed, and only where no other path connects the two.
     """
-    rows, labels = linked_nodes(docs, id_col, text_col, shingle_words, percent)
-    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    named_class = classes.join(lowest, "label").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(named_class, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    with scratch(docs.sparkSession):
+        rows, labels = linked_nodes(docs, id_col, text_col, shingle_words, percent)
+        classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
+        named_class = classes.join(lowest, "label").select("node", "component_id")
+        out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(named_class, "node", "left")
+        out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        # the verdicts alone stay; sets, sketches and lists go with the block
+        out = written(out, "near-verdicts", up=1)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -263,15 +267,17 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Decided by row, not by doc_id: the row of smallest doc_id stays (nulls last, then by row_mark), one of those with equal id and text.
     """
-    rows, labels = linked_nodes(docs, id_col, text_col, shingle_words, percent)
-    full = rows.where("n_shingles > 0").select("doc_id", "mark", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = full.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first"))
-    stay = written(first.select(F.col("first.mark").alias("_mark")), "near-stay")
-    marks = full.select(F.col("mark").alias("_mark"))
-    gone = marks.join(stay, "_mark", "left_anti").distinct()
-    twins = marks.join(stay, "_mark", "left_semi").groupBy("_mark").count().where("count > 1").select("_mark")
+    with scratch(docs.sparkSession):
+        rows, labels = linked_nodes(docs, id_col, text_col, shingle_words, percent)
+        full = rows.where("n_shingles > 0").select("doc_id", "mark", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        first = full.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first"))
+        stay = written(first.select(F.col("first.mark").alias("_mark")), "near-stay")
+        marks = full.select(F.col("mark").alias("_mark"))
+        gone = written(marks.join(stay, "_mark", "left_anti").distinct(), "near-gone", up=1)
+        twins = marks.join(stay, "_mark", "left_semi").groupBy("_mark").count().where("count > 1").select("_mark")
+        twins = written(twins, "near-twins", up=1)
     left = docs.withColumn("_mark", row_mark(id_col, text_col)).join(gone, "_mark", "left_anti")
-    return one_of_each(left, written(twins, "near-twins"), "_mark").select(*docs.columns)
+    return one_of_each(left, twins, "_mark").select(*docs.columns)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
