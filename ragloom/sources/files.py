@@ -1,10 +1,9 @@
-"""Sources and sinks: Markdown texts, strict JSON lines, replayed records, upserts, manifests."""
+"""Sources and sinks: Markdown texts, JSON lines, replayed records, upserts, manifests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -14,13 +13,6 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("title"), text.alias("text"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines without blank and # lines (1.5); a malformed line ends the job with an error that holds it."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
-    parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_row"))
-    return parsed.select("_row.*")
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object a line, keys in order, nulls kept (1.6)."""
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.operators import access, metrics, retrieval, sequences
-from ragloom.sources import files
+from ragloom.sources import files, jsonl
 from ragloom.streaming import rates
 
 
@@ -62,7 +62,7 @@ def test_jsonl_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\nb"), (2, None)], "i long, t string")
     files.write_jsonl(df, str(tmp_path / "x"))
     (tmp_path / "x" / "more.json").write_text("# note\n\n")
-    assert sorted(map(tuple, files.read_jsonl(spark, str(tmp_path / "x"), df.schema).collect())) == [(1, "a\nb"), (2, None)]
+    assert sorted(map(tuple, jsonl.read_jsonl(spark, str(tmp_path / "x"), df.schema).collect())) == [(1, "a\nb"), (2, None)]
 
 
 def test_renumbered(spark):
