@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ragloom.operators import lexical_index
+from ragloom.operators import dense_index, lexical_index
 from ragloom.plans.catalogue import query, table
 from ragloom.plans.storage import shared_folder
 
@@ -60,3 +60,13 @@ SELECT item_id, CASE WHEN names = '' THEN body WHEN body = '' THEN names ELSE bo
 def lexical_index_texts(spark, sf_dir):
     fields = (F.col("name"), F.col("brand"), F.col("kind"), F.concat(F.lit("size "), F.col("size")))
     return table(spark, sf_dir, "items").select("item_id", lexical_index.lexical_text(*fields).alias("index_text"))
+
+
+# --- dense index (7.2) -----------------------------------------------------------------------------------------------------------------------
+@query("""SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""")
+def dense_index_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = dense_index.build_index(rows, f"{shared_folder(spark)}/ragloom/dense-index-{uuid.uuid4().hex}")
+    return dense_index.search_index(index, rows.where("id % 20 = 0"), 10)
