@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
@@ -15,10 +15,12 @@ from ragloom.plans.storage import stored
 TEXT_CAP = 65_535
 #: Folders of terms; a query reads those of its terms.
 BUCKETS = 64
-#: Documents of a shard on average; a block holds the postings of one term, shard and weight level, so no more than a shard has.
-SHARD_ROWS = 4096
-#: Weight levels of a block per unit of weight (weights without idf lie between 0 and k1 + 1).
-LEVELS = 8
+#: Documents of a shard on average. A shard holds documents of like length, whose weights are alike, so its greatest ones say much.
+SHARD_ROWS = 32
+#: Length classes per doubling of the length.
+CLASSES = 8
+#: Shards whose documents are scored first, by what their terms may add up to: this many for every row asked for.
+FIRST = 4
 #: Scores are rounded to 6 digits: what may still round to the k-th score stays.
 SLACK = 2e-6
 
@@ -65,7 +67,7 @@ def lexical_text(*fields: Column, cap: int = TEXT_CAP) -> Column:
 # --- index (7.4) -----------------------------------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class LexicalIndex:
-    """`terms`: bucket, term, df. `blocks`: bucket, term, shard, level, n, top and postings (doc_id, w), w without idf. `documents`: how many."""
+    """`terms`: bucket, term, df. `blocks`: bucket, term, shard, n, top and postings (doc_id, w), w without idf. `documents`: how many."""
 
     terms: DataFrame
     blocks: DataFrame
@@ -87,13 +89,14 @@ def build_index(documents: DataFrame, path: str, tokens=analyze, *, k1: float =
     counts = stored(words.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "lexical-counts")
     lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
-    shards = max(1, -(-n // SHARD_ROWS))
+    # a class of lengths has as many shards as it has rows for; there are at most CLASSES * 64 classes
+    lengths = lengths.withColumn("class", F.floor(F.log2("len") * CLASSES).cast("long"))
+    shards = lengths.groupBy("class").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
+    dealt = lengths.join(F.broadcast(shards), "class").select("doc_id", "len", F.shiftleft("class", 40).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("shards"))).alias("shard"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    postings = counts.join(lengths, "doc_id").select(bucket, "term", "doc_id", weight.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    blocks = postings.groupBy("bucket", "term", "shard", F.floor(F.col("w") * LEVELS).cast("int").alias("level")).agg(
-        F.count("*").alias("n"), F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings")
-    )
+    postings = counts.join(dealt, "doc_id").select(bucket, "term", "doc_id", weight.alias("w"), "shard")
+    blocks = postings.groupBy("bucket", "term", "shard").agg(F.count("*").alias("n"), F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
     _bucketed(blocks, f"{path}/blocks", "shard")
     # the size's row carries the type of the ids, so that an index without a posting has its schema too
     size = spark.range(1).select(F.lit(n).alias("documents"), F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id"))
@@ -104,7 +107,7 @@ def build_index(documents: DataFrame, path: str, tokens=analyze, *, k1: float =
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
     kind = spark.read.parquet(f"{path}/size").schema["doc_id"].dataType.simpleString()
-    return spark.read.schema(f"term string, shard int, level int, n long, top double, postings array<struct<doc_id:{kind},w:double>>, bucket int").parquet(f"{path}/blocks")
+    return spark.read.schema(f"term string, shard long, n long, top double, postings array<struct<doc_id:{kind},w:double>>, bucket int").parquet(f"{path}/blocks")
 
 
 def open_index(spark: SparkSession, path: str) -> LexicalIndex:
@@ -113,7 +116,7 @@ def open_index(spark: SparkSession, path: str) -> LexicalIndex:
 
 
 def _heads(index: LexicalIndex, queries: DataFrame, tokens) -> DataFrame:
-    """Headers of the blocks of each query's terms: query_id, bucket, term, idf, shard, level, n, top. Postings are not read."""
+    """Headers of the blocks of each query's terms: query_id, bucket, term, idf, shard, n, top. Postings are not read."""
     asked = queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
     asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
     idf = F.log(1 + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -122,37 +125,31 @@ def _heads(index: LexicalIndex, queries: DataFrame, tokens) -> DataFrame:
 
 
 def _scores(index: LexicalIndex, heads: DataFrame) -> DataFrame:
-    wanted = heads.select("query_id", "idf", "bucket", "term", "shard", "level")
-    found = wanted.join(index.blocks.select("bucket", "term", "shard", "level", "postings"), ["bucket", "term", "shard", "level"])
+    keys = ["bucket", "term", "shard"]
+    found = heads.select("query_id", "idf", *keys).join(index.blocks.select(*keys, "postings"), keys)
     return found.select("query_id", "idf", F.inline("postings")).groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
 
 
 def needed_blocks(index: LexicalIndex, queries: DataFrame, k: int, tokens=analyze) -> DataFrame:
-    """The block headers that top k of `queries` has to read, with `kept` saying so; the others cannot hold a document of the top k.
+    """The headers of all blocks of the queries' terms, with `kept`: false where no document of the block can be in the top k.
 
-    First the heaviest levels of every term are scored, as many as hold k postings: the k-th of those partial scores is a lower bound of
-    the k-th final one. A document of a block scores at most the block's greatest weight plus, for every other term of the query, the
-    greatest weight that the term has in the shard; where that is below the bound, the block is left out.
+    A document scores at most the sum of the greatest weights that the query's terms have in its shard. The shards of the greatest sums
+    are scored first; the k-th score among their documents is a lower bound of the k-th of all, and shards with a lesser sum are left out.
     """
     heads = stored(_heads(index, queries, tokens), "lexical-heads")
-    levels = heads.groupBy("query_id", "term", "level").agg(F.sum("n").alias("n"))
-    heavier = F.sum("n").over(Window.partitionBy("query_id", "term").orderBy(F.col("level").desc())) - F.col("n")
-    seeds = levels.withColumn("heavier", heavier).where(F.col("heavier") < k).select("query_id", "term", "level")
-    partial = top_k(_scores(index, heads.join(seeds, ["query_id", "term", "level"])), ["query_id"], "score", "doc_id", k)
-    bound = partial.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    peaks = heads.groupBy("query_id", "shard", "term", "idf").agg((F.max("top") * F.col("idf")).alias("peak"))
-    sums = peaks.groupBy("query_id", "shard").agg(F.sum("peak").alias("peaks"))
-    rated = heads.join(peaks.drop("idf"), ["query_id", "shard", "term"]).join(sums, ["query_id", "shard"]).join(bound, "query_id", "left")
-    most = F.col("top") * F.col("idf") + F.col("peaks") - F.col("peak")
-    return rated.withColumn("kept", most >= F.coalesce("bound", F.lit(0.0)) - SLACK)
+    sums = stored(heads.groupBy("query_id", "shard").agg(F.sum(F.col("top") * F.col("idf")).alias("most")), "lexical-sums")
+    first = top_k(sums, ["query_id"], "most", "shard", FIRST * k).select("query_id", "shard")
+    best = top_k(_scores(index, heads.join(first, ["query_id", "shard"])), ["query_id"], "score", "doc_id", k)
+    bound = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    rated = sums.join(bound, "query_id", "left").select("query_id", "shard", (F.col("most") >= F.coalesce("bound", F.lit(0.0)) - SLACK).alias("kept"))
+    return heads.join(rated, ["query_id", "shard"])
 
 
 def search_index(index: LexicalIndex, queries: DataFrame, k: int, tokens=analyze) -> DataFrame:
     """Exact BM25 top k of queries (query_id, text): query_id, rank, doc_id, score (6 digits; ties to the smaller id).
 
-    A query without a known term has no rows. Every document of the top k has all its blocks read, so its score is whole; the others'
-    partial scores stay below the k-th.
+    A query without a known term has no rows. Whole shards are left out, so every score that is made is whole.
     """
-    kept = stored(needed_blocks(index, queries, k, tokens).where("kept").select("query_id", "idf", "bucket", "term", "shard", "level"), "lexical-kept")
+    kept = stored(needed_blocks(index, queries, k, tokens).where("kept").select("query_id", "idf", "bucket", "term", "shard"), "lexical-kept")
     scores = _scores(index, kept).withColumn("score", F.round("score", 6))
     return top_k(scores, ["query_id"], "score", "doc_id", k).select("query_id", "rank", "doc_id", "score")
