@@ -21,6 +21,8 @@ SHARD_ROWS = 32
 CLASSES = 8
 #: Shards whose documents are scored first, by what their terms may add up to: this many for every row asked for.
 FIRST = 4
+#: Documents of a file on average.
+FILE_ROWS = 1 << 20
 #: Scores are rounded to 6 digits: what may still round to the k-th score stays.
 SLACK = 2e-6
 
@@ -74,7 +76,7 @@ class LexicalIndex:
     documents: int
 
 
-def _bucketed(df: DataFrame, path: str, *spread: str) -> None:
+def _bucketed(df: DataFrame, path: str, *spread: Column) -> None:
     df.repartition("bucket", *spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
@@ -97,7 +99,8 @@ def build_index(documents: DataFrame, path: str, tokens=analyze, *, k1: float =
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
     postings = counts.join(dealt, "doc_id").select(bucket, "term", "doc_id", weight.alias("w"), "shard")
     blocks = postings.groupBy("bucket", "term", "shard").agg(F.count("*").alias("n"), F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
-    _bucketed(blocks, f"{path}/blocks", "shard")
+    # a folder has one file for every million documents: a task writes whole files of few folders
+    _bucketed(blocks, f"{path}/blocks", F.pmod(F.xxhash64("shard"), F.lit(-(-n // FILE_ROWS) or 1)))
     # the size's row carries the type of the ids, so that an index without a posting has its schema too
     size = spark.range(1).select(F.lit(n).alias("documents"), F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id"))
     size.coalesce(1).write.parquet(f"{path}/size")
