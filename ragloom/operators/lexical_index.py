@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
@@ -76,8 +76,8 @@ class LexicalIndex:
     documents: int
 
 
-def _bucketed(df: DataFrame, path: str, *spread: Column) -> None:
-    df.repartition("bucket", *spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+def _written(df: DataFrame, path: str) -> None:
+    df.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
 def build_index(documents: DataFrame, path: str, tokens=analyze, *, k1: float = 1.2, b: float = 0.75) -> LexicalIndex:
@@ -87,24 +87,28 @@ def build_index(documents: DataFrame, path: str, tokens=analyze, *, k1: float =
     are stored, lengths and weights come from them. Files are sorted by term, so that a scan skips row groups by it.
     """
     spark = documents.sparkSession
-    words = documents.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), F.explode(tokens(F.col("text"))).alias("term"))
-    counts = stored(words.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "lexical-counts")
-    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    words = documents.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), tokens(F.col("text")).alias("words"))
+    words = words.withColumn("len", F.sum(F.size("words")).over(Window.partitionBy("doc_id")))
+    # still partitioned by document: no second shuffle
+    counts = stored(words.select("doc_id", "len", F.explode("words").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")), "lexical-counts")
+    lengths = counts.select("doc_id", "len").distinct()
     n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
     # a class of lengths has as many shards as it has rows for; there are at most CLASSES * 64 classes
-    lengths = lengths.withColumn("class", F.floor(F.log2("len") * CLASSES).cast("long"))
-    shards = lengths.groupBy("class").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
-    dealt = lengths.join(F.broadcast(shards), "class").select("doc_id", "len", F.shiftleft("class", 40).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("shards"))).alias("shard"))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    of_length = F.floor(F.log2("len") * CLASSES).cast("long").alias("class")
+    shards = stored(lengths.groupBy(of_length).agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards")), "lexical-shards")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    postings = counts.join(dealt, "doc_id").select(bucket, "term", "doc_id", weight.alias("w"), "shard")
-    blocks = postings.groupBy("bucket", "term", "shard").agg(F.count("*").alias("n"), F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
-    # a folder has one file for every million documents: a task writes whole files of few folders
-    _bucketed(blocks, f"{path}/blocks", F.pmod(F.xxhash64("shard"), F.lit(-(-n // FILE_ROWS) or 1)))
+    rated = counts.select("doc_id", "term", weight.alias("w"), of_length).join(F.broadcast(shards), "class")
+    shard = F.shiftleft("class", 40).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("shards"))).alias("shard")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    # a folder has one file for every million documents; blocks are made where they are written
+    file = F.pmod(F.xxhash64("shard"), F.lit(-(-n // FILE_ROWS) or 1)).alias("file")
+    postings = rated.select(bucket, "term", "doc_id", "w", shard).select("*", file).repartition("bucket", "file")
+    blocks = postings.groupBy("bucket", "file", "term", "shard").agg(F.count("*").alias("n"), F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
+    _written(blocks.drop("file"), f"{path}/blocks")
     # the size's row carries the type of the ids, so that an index without a posting has its schema too
     size = spark.range(1).select(F.lit(n).alias("documents"), F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id"))
     size.coalesce(1).write.parquet(f"{path}/size")
-    _bucketed(_blocks(spark, path).groupBy("bucket", "term").agg(F.sum("n").alias("df")), f"{path}/terms")
+    _written(_blocks(spark, path).groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket"), f"{path}/terms")
     return open_index(spark, path)
 
 
