@@ -315,4 +315,4 @@ def planner_rule_policy(spark, sf_dir):
     return rows.select("doc_id", metrics.rule_policy().alias("decision"))
 
 
-from ragloom.plans import curation, indexes, inventory  # noqa: E402, F401  register their queries
+from ragloom.plans import answers, curation, indexes, inventory  # noqa: E402, F401  register their queries
