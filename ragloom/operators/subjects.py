@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragloom.functions.text import empty_to_null, normalise_words
 from ragloom.operators.predicates import CANDIDATE, score_band
 from ragloom.operators.similarity import gram_sets, overlap_pairs
+from ragloom.plans.storage import stored
 
 #: Hits that are asked for each mention, and candidates that a mention may put forward.
 HITS, OPTIONS = 5, 2
@@ -55,7 +56,8 @@ def confirm_subjects(sessions: DataFrame, mentions: DataFrame, hits: DataFrame)
         F.slice(F.array_sort(F.array_agg(F.when(band == "candidate", hit))), 1, OPTIONS).alias("options"),
     )
     verdict = verdict.select("mention", "sure", F.when(F.col("sure").isNull(), F.col("options")).alias("options"))
-    met = said.join(verdict, "mention")
+    # read by four aggregates: stored, so that the hits are made once
+    met = stored(said.join(verdict, "mention").select("session_id", "at", "sure", "options"), "subject-verdicts")
     sure = met.where(empty_to_null(F.col("sure.subject_id").cast("string")).isNotNull() & (F.coalesce("sure.standard_name", F.lit("")) != ""))
     sure = sure.groupBy("session_id", F.col("sure.subject_id").alias("subject_id")).agg(F.min(F.struct("at", F.lit(0).alias("slot"), F.col("sure.standard_name").alias("standard_name"))).alias("p"))
     maybe = met.select("session_id", "at", F.posexplode("options").alias("slot", "o")).where("coalesce(o.standard_name, '') <> ''")
