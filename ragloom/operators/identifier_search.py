@@ -55,14 +55,18 @@ def covered(evidence: DataFrame, requests: DataFrame) -> DataFrame:
 def exact_hits(requests: DataFrame, records: DataFrame, structured: list[str], k: int) -> DataFrame:
     """query_id, record_id, rank: the first k records that have one of the values of every structured type asked for.
 
-    An equi-join on (type, value), so records of other values are never met; most matched values first, then the smaller id.
+    An equi-join on (type, value), so records of other values are never met; most matched values first, then the smaller id. Requests for
+    the same values are one.
     """
-    asked = requests.select("query_id", F.explode(F.map_filter("requested", lambda kind, _: kind.isin(*structured))).alias("kind", "values"))
-    types = asked.groupBy("query_id").agg(F.count("*").alias("types"))
-    asked = asked.select("query_id", "kind", F.explode("values").alias("value")).distinct()
+    wanted = F.array_sort(F.transform(F.map_entries(F.map_filter("requested", lambda kind, _: kind.isin(*structured))), lambda e: F.struct(e["key"].alias("kind"), F.array_sort(F.array_distinct(e["value"])).alias("values"))))
+    requests = stored(requests.select("query_id", wanted.alias("wanted")), "wanted")
+    firsts = stored(requests.groupBy("wanted").agg(F.min("query_id").alias("first")), "distinct")
+    types = firsts.select("first", F.size("wanted").alias("types"))
+    asked = firsts.select("first", F.inline("wanted")).select("first", "kind", F.explode("values").alias("value"))
     held = records.select("record_id", F.explode("metadata").alias("kind", "values")).where(F.col("kind").isin(*structured)).select("record_id", "kind", F.explode(F.array_distinct("values")).alias("value"))
-    found = asked.join(held, ["kind", "value"]).groupBy("query_id", "record_id").agg(F.count_distinct("kind").alias("kinds"), F.count("*").alias("values"))
-    return top_k(found.join(types, "query_id").where("kinds = types"), ["query_id"], "values", "record_id", k).select("query_id", "record_id", "rank")
+    found = asked.join(held, ["kind", "value"]).groupBy("first", "record_id").agg(F.count_distinct("kind").alias("kinds"), F.count("*").alias("values"))
+    best = top_k(found.join(types, "first").where("kinds = types"), ["first"], "values", "record_id", k).select("first", "record_id", "rank")
+    return requests.join(firsts, "wanted").select("query_id", "first").join(best, "first").select("query_id", "record_id", "rank")
 
 
 def suggestions(requests: DataFrame, records: DataFrame, k: int = 3) -> DataFrame:

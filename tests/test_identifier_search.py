@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.operators import grounding
-from ragloom.operators.identifier_search import compatible, covered, guaranteed, identifier_search, suggestions
+from ragloom.operators.identifier_search import compatible, covered, exact_hits, guaranteed, identifier_search, suggestions
 
 MAP = "map<string,array<string>>"
 
@@ -147,3 +147,11 @@ def test_claims_of_every_kind(spark):
     }
     totals = {r.evidence_id: (r.claims, r.passing, r.covered) for r in grounding.coverage(rows).collect()}
     assert totals == {1: (7, 2, False), 9: (1, 0, False)}
+
+
+def test_requests_for_the_same_values_meet_the_records_once(spark):
+    kind = "map<string,array<string>>"
+    asked = spark.createDataFrame([(1, {"part_number": ["B", "A"]}), (2, {"part_number": ["A", "B", "A"]}), (3, {"part_number": ["C"]})], f"query_id long, requested {kind}")
+    records = spark.createDataFrame([(i, {"part_number": ["A", "B"] if i == 5 else ["A"]}) for i in range(7)], f"record_id long, metadata {kind}")
+    got = exact_hits(asked, records, ["part_number"], 2)
+    assert {tuple(x) for x in got.collect()} == {(q, i, r) for q in (1, 2) for r, i in ((1, 5), (2, 0))}
