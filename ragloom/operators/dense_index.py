@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.operators.retrieval import BLOCK, top_k
+from ragloom.operators.retrieval import BLOCK, SLICE, top_k
 from ragloom.plans.storage import stored
 
 #: Rows that the centroids are fitted on: those of least hash of the id. Every row is indexed, and searches are exact for any sample.
@@ -19,6 +19,8 @@ SAMPLE = 4096
 MOST_LISTS = 1024
 #: Rings per unit of distance; unit vectors are at most 2 apart, so a list has up to 2 * RINGS + 1 rings.
 RINGS = 16
+#: Choices of (query, list, ring) that a task holds at once; each carries the query's vector.
+CHOICES = 1 << 15
 #: Scores are rounded to 6 digits: what may still round to the k-th score stays.
 SLACK = 2e-6
 
@@ -109,10 +111,13 @@ def _chosen(index: DenseIndex, queries: DataFrame, k: int | None) -> DataFrame:
     centroids, at = index.centroids, rings["list"].to_numpy()
     in_list = np.bincount(at, rings["n"].to_numpy(), minlength=len(centroids)) if len(rings) else np.zeros(len(centroids))
 
+    # a query may choose every ring, so the more rings there are, the fewer queries are taken at once
+    step = max(1, CHOICES // max(1, len(rings)))
+
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch) if len(rings) else 0, 256):
-                part = batch.iloc[start : start + 256]
+            for start in range(0, len(batch) if len(rings) else 0, step):
+                part = batch.iloc[start : start + step]
                 d = _distances(np.stack(part["v"].to_list()), centroids)
                 if k is None:
                     gap = np.maximum(np.maximum(d[:, at] - rings["far"].to_numpy(), rings["near"].to_numpy() - d[:, at]), 0.0)
@@ -142,12 +147,16 @@ def _scores(index: DenseIndex, chosen: DataFrame, k: int) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         ids, own = b["id"].to_numpy(), a["query_id"].to_numpy()
-        scores = np.round(np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T, 6) + 0.0
-        scores[own[:, None] == ids[None, :]] = -np.inf
-        least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -2.0)
-        # all that reach the k-th, so that ties are settled by id afterwards
-        q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-        return pd.DataFrame({"query_id": own[q], "vec_id": ids[c], "score": scores[q, c]})
+        x, y, found = np.stack(a["v"].to_list()), np.stack(b["v"].to_list()).T, []
+        for start in range(0, len(own), SLICE):
+            mine = own[start : start + SLICE]
+            scores = np.round(x[start : start + SLICE] @ y, 6) + 0.0
+            scores[mine[:, None] == ids[None, :]] = -np.inf
+            least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(mine), -2.0)
+            # all that reach the k-th, so that ties are settled by id afterwards
+            q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            found.append(pd.DataFrame({"query_id": mine[q], "vec_id": ids[c], "score": scores[q, c]}))
+        return pd.concat(found, ignore_index=True)
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     return top_k(found, ["query_id"], "score", "vec_id", k).select("query_id", "rank", "vec_id", "score")

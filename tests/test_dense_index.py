@@ -1,5 +1,6 @@
 """The clustered dense index against a plain cosine search."""
 
+import random
 import uuid
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.operators import dense_index as D
+from ragloom.operators import retrieval
 from ragloom.plans.storage import shared_folder
 
 SCHEMA = "id long, v array<double>"
@@ -75,3 +77,16 @@ def test_opened_index_is_the_stored_one(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], SCHEMA)
     D.build_index(rows, path)
     assert [(x.query_id, x.vec_id) for x in D.search_index(D.open_index(spark, path), rows.where("id = 1"), 3).collect()] == [(1, 2)]
+
+
+def test_choices_and_scores_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHOICES", 1)
+    monkeypatch.setattr(D, "SLICE", 3)
+    monkeypatch.setattr(retrieval, "SLICE", 3)
+    r = random.Random(8)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    queries = rows[:10]
+    want = plain(rows, queries, 5)
+    asked, df = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(rows, SCHEMA)
+    check(D.search_index(built(spark, rows, 6), asked, 5).collect(), want)
+    check(retrieval.dense_top_k(asked, df, 5).collect(), want)
