@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.operators.retrieval import top_k
+from ragloom.operators.sparse_blocks import block_top_k
 from ragloom.plans.storage import stored
 
 #: Fixed value: the longest index text.
@@ -122,13 +123,17 @@ def open_index(spark: SparkSession, path: str) -> LexicalIndex:
     return LexicalIndex(terms, _blocks(spark, path), spark.read.parquet(f"{path}/size").first()["documents"])
 
 
-def _heads(index: LexicalIndex, queries: DataFrame, tokens) -> DataFrame:
-    """Headers of the blocks of each query's terms: query_id, bucket, term, idf, shard, n, top. Postings are not read."""
+def _asked(index: LexicalIndex, queries: DataFrame, tokens) -> DataFrame:
+    """The known terms of each query: query_id, bucket, term, idf."""
     asked = queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
     asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
     idf = F.log(1 + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = asked.join(index.terms, ["bucket", "term"]).select("query_id", "bucket", "term", idf.alias("idf"))
-    return known.join(index.blocks.drop("postings"), ["bucket", "term"])
+    return asked.join(index.terms, ["bucket", "term"]).select("query_id", "bucket", "term", idf.alias("idf"))
+
+
+def _heads(index: LexicalIndex, queries: DataFrame, tokens) -> DataFrame:
+    """Headers of the blocks of each query's terms: query_id, bucket, term, idf, shard, n, top. Postings are not read."""
+    return _asked(index, queries, tokens).join(index.blocks.drop("postings"), ["bucket", "term"])
 
 
 def _scores(index: LexicalIndex, heads: DataFrame) -> DataFrame:
@@ -155,8 +160,10 @@ def needed_blocks(index: LexicalIndex, queries: DataFrame, k: int, tokens=analyz
 def search_index(index: LexicalIndex, queries: DataFrame, k: int, tokens=analyze) -> DataFrame:
     """Exact BM25 top k of queries (query_id, text): query_id, rank, doc_id, score (6 digits; ties to the smaller id).
 
-    A query without a known term has no rows. Whole shards are left out, so every score that is made is whole.
+    A query without a known term has no rows. A header for each query, term and shard (`needed_blocks`) would outgrow the postings when
+    many queries are asked at once: the postings of their terms are read once and meet the queries by blocks.
     """
-    kept = stored(needed_blocks(index, queries, k, tokens).where("kept").select("query_id", "idf", "bucket", "term", "shard"), "lexical-kept")
-    scores = _scores(index, kept).withColumn("score", F.round("score", 6))
-    return top_k(scores, ["query_id"], "score", "doc_id", k).select("query_id", "rank", "doc_id", "score")
+    asked = stored(_asked(index, queries, tokens), "lexical-asked")
+    held = index.blocks.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").select("term", F.inline("postings"))
+    scores = block_top_k(asked.select("query_id", "term", F.col("idf").alias("weight")), held.select(F.col("doc_id").alias("id"), "term", F.col("w").alias("weight")), k)
+    return top_k(scores, ["query_id"], "score", "id", k).select("query_id", "rank", F.col("id").alias("doc_id"), "score")

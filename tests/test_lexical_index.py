@@ -96,3 +96,11 @@ def test_index_text(spark):
     assert text("see E-021 and more words", cap=24) == "see E-0\nE021 E-021 E 021"
     assert text("see E-021", cap=10) == "-021 E 021"
     assert len(text("x" * 300_000)) == L.TEXT_CAP
+
+
+def test_search_makes_no_header_of_every_query_term_and_shard(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_ROWS", 1)
+    monkeypatch.setattr(L, "_heads", None)
+    index = built(spark, [(i, "pump " * (1 + i % 3)) for i in range(40)])
+    asked = spark.createDataFrame([(i, "pump") for i in range(30)], "query_id long, text string")
+    assert L.search_index(index, asked, 2).count() == 60
