@@ -84,3 +84,30 @@ def test_nulls_repeats_and_empty_tables(spark):
     none = toxicity(*frames(spark, docs[:3], [])).collect()
     assert [r.score for r in none] == [0.0] * 3
     assert toxicity(*frames(spark, [], labels)).collect() == []
+
+
+def test_every_labelled_text_is_learnt_from(spark, monkeypatch):
+    """A word that a single text of the most frequent label holds has its evidence, whatever the number and the lengths of the texts."""
+    import ragloom.llm.toxicity as op
+
+    docs, labels = [], []
+    for i in range(1900):
+        docs.append((i, f"garden only{i}" + " river" * (6000 if i % 600 == 0 else i % 5), "en"))
+        labels.append((i, int(i % 10 == 0)))
+    seen = {}
+    monkeypatch.setattr(op, "started", lambda odds, begin=op.started: seen.setdefault("model", begin(odds)))
+    src = spark.createDataFrame(docs, "doc_id long, t string, lang string").repartition(5)
+    known = spark.createDataFrame(labels, "doc_id long, label int")
+    fit(src, known, rounds=1, shard_rows=300)
+    rows = op.labelled(src, known)
+    used = {r.doc_id for r in rows.where("NOT held").collect()}
+    assert rows.count() == 1900 and 1400 < len(used) < 1620 and len([i for i in used if not labels[i][1]]) > 1200
+    own = token_rows(pa.array([docs[i][1].split()[1] for i in sorted(used)]))
+    odds = seen["model"].table[own[0][own[1][:-1], 0], 0]
+    assert np.mean(odds != 0) > 0.99
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    docs, labels = frames(spark, *corpus())
+    one, two = ({r.doc_id: r.score for r in toxicity(docs.repartition(n), labels.repartition(n), shard_rows=60).collect()} for n in (1, 7))
+    assert max(abs(one[i] - two[i]) for i in one) < 1e-4
