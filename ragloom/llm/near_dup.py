@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import free, one_of_each, row_mark, safe_text, scratch, table, written
+from ragloom.llm.common import asked, free, one_of_each, row_mark, safe_text, scratch, table, written
 from ragloom.llm.linking import linked_components
 from ragloom.llm.text_arrays import mix, pieces, word_hashes
 
@@ -218,7 +218,9 @@ def linked_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
         wanted = written(wanted, "near-wanted")
         if not wanted.isEmpty():
             ids = wanted.join(named, "node").select("doc_id").distinct()
-            own = src.join(ids, src["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+            # before the join, so that texts not asked for are not shuffled
+            own = asked(src, ids, "doc_id")
+            own = own.join(ids, own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
             pool.append(written(full_sets(own, shingle_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-sets"))
 
     def confirm(pairs: DataFrame) -> DataFrame:

@@ -31,3 +31,20 @@ def test_no_silent_loss_at_low_thresholds():
     assert least_match(80) == 34 and least_match(100) == 64
     with pytest.raises(ValueError):
         least_match(10)
+
+
+def test_only_texts_asked_for_are_joined(spark, monkeypatch):
+    from ragloom.llm import near_dup as module
+
+    left, real = [], module.asked
+
+    def watched(rows, *args):
+        left.append(real(rows, *args).count())
+        return real(rows, *args)
+
+    monkeypatch.setattr(module, "asked", watched)
+    same = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, f"{' '.join(f'd{i}x{j}' for j in range(40))}") for i in range(300)] + [(None, same), (500, f"{same} more")]
+    got = near_dup(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=2).collect()
+    assert sum(r.component_id == 500 for r in got) == 2 and len(got) == len(docs)
+    assert left and max(left) < 10
