@@ -1,4 +1,6 @@
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from ragloom.operators import access, metrics, retrieval, sequences
 from ragloom.sources import files, jsonl
 from ragloom.streaming import rates
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, value, column):
     return spark.createDataFrame([(value,)], "x string").select(column.alias("y")).first()["y"]
@@ -44,6 +48,28 @@ def test_dense_top_k_skips_bad_vectors(spark):
     assert retrieval.dense_top_k(df.limit(0), df, 2).count() == 0
 
 
+def test_dense_top_k_over_several_blocks(spark, monkeypatch):
+    """Ties, repeats and queries of several blocks and slices against a plain sort."""
+    rng, found = random.Random(4), {}
+    for name, rows in (("BLOCK", 16), ("WIDE", 24), ("SLICE", 5)):
+        monkeypatch.setattr(retrieval, name, rows, raising=False)
+    vectors = {i: [float(rng.randint(-2, 2)) for _ in range(3)] for i in range(150)}
+    df = spark.createDataFrame([*vectors.items(), (None, [1.0, 1.0, 1.0])], "id long, v array<float>")
+    for r in retrieval.dense_top_k(df, df, 4, cosine=False).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    dot = lambda a, b: sum(x * y for x, y in zip(vectors[a], vectors[b]))
+    want = {a: [(n + 1, b, dot(a, b)) for n, b in enumerate(sorted((b for b in vectors if b != a), key=lambda b: (-dot(a, b), b))[:4])] for a in vectors}
+    assert {a: sorted(rows) for a, rows in found.items()} == want
+
+
+def test_every_vector_asks_for_its_cliff(spark):
+    """Not the vectors of every twentieth id alone."""
+    from ragloom.plans.catalogue import QUERIES
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.query_id for r in QUERIES["dynamic_topk_cliff"](spark, SF).select("query_id").distinct().collect()} == ids
+
+
 def test_visibility(spark):
     rows = [(1, "public", 9, 9), (2, "shared", 3, 9), (3, "shared", 4, 9), (4, "private", 3, 7), (5, "private", 3, 8), (6, None, 3, None)]
     df = spark.createDataFrame(rows, "i long, visibility string, tenant_id long, owner_user_id long").withColumn("dataset_id", F.lit(1)).withColumn("enabled", F.lit(True))
