@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ragloom.functions import text as T
 from ragloom.operators.retrieval import top_k
 from ragloom.operators.sparse_blocks import block_top_k
-from ragloom.plans.storage import stored
+from ragloom.plans.storage import free, stored, stored_for
 
 #: Fixed value: the longest index text.
 TEXT_CAP = 65_535
@@ -91,23 +91,25 @@ def build_index(documents: DataFrame, path: str, tokens=analyze, *, k1: float =
     words = documents.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), tokens(F.col("text")).alias("words"))
     words = words.withColumn("len", F.sum(F.size("words")).over(Window.partitionBy("doc_id")))
     # still partitioned by document: no second shuffle
-    counts = stored(words.select("doc_id", "len", F.explode("words").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")), "lexical-counts")
-    lengths = counts.select("doc_id", "len").distinct()
-    n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
-    # a class of lengths has as many shards as it has rows for; there are at most CLASSES * 64 classes
-    of_length = F.floor(F.log2("len") * CLASSES).cast("long").alias("class")
-    shards = stored(lengths.groupBy(of_length).agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards")), "lexical-shards")
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    rated = counts.select("doc_id", "term", weight.alias("w"), of_length).join(F.broadcast(shards), "class")
-    shard = F.shiftleft("class", 40).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("shards"))).alias("shard")
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    # a folder has one file for every million documents; blocks are made where they are written
-    file = F.pmod(F.xxhash64("shard"), F.lit(-(-n // FILE_ROWS) or 1)).alias("file")
-    postings = rated.select(bucket, "term", "doc_id", "w", shard).select("*", file).repartition("bucket", "file")
-    blocks = postings.groupBy("bucket", "file", "term", "shard").agg(F.count("*").alias("n"), F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
-    _written(blocks.drop("file"), f"{path}/blocks")
-    # the size's row carries the type of the ids, so that an index without a posting has its schema too
-    size = spark.range(1).select(F.lit(n).alias("documents"), F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id"))
+    counts = words.select("doc_id", "len", F.explode("words").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    with stored_for(counts, "lexical-counts") as counts:
+        free(spark)
+        lengths = counts.select("doc_id", "len").distinct()
+        n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
+        # a class of lengths has as many shards as it has rows for; there are at most CLASSES * 64 classes
+        of_length = F.floor(F.log2("len") * CLASSES).cast("long")
+        shards = stored(lengths.groupBy(of_length.alias("class")).agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards")), "lexical-shards")
+        sent = counts.join(F.broadcast(shards), of_length == F.col("class")).select("doc_id", "term", "tf", "len", "shards")
+        weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
+        shard = F.shiftleft(of_length, 40).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("shards")))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        # a folder has one file for every million documents; blocks are made where they are written, and what follows from a row is not sent
+        file = F.pmod(F.xxhash64(shard), F.lit(-(-n // FILE_ROWS) or 1))
+        postings = sent.repartition(bucket, file).select(bucket.alias("bucket"), "term", "doc_id", weight.alias("w"), shard.alias("shard"), file.alias("file"))
+        blocks = postings.groupBy("bucket", "file", "term", "shard").agg(F.count("*").alias("n"), F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
+        _written(blocks.drop("file"), f"{path}/blocks")
+        # the size's row carries the type of the ids, so that an index without a posting has its schema too
+        size = spark.range(1).select(F.lit(n).alias("documents"), F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id"))
     size.coalesce(1).write.parquet(f"{path}/size")
     _written(_blocks(spark, path).groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket"), f"{path}/terms")
     return open_index(spark, path)
